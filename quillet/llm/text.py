@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
@@ -25,7 +26,7 @@ def slices(table: pa.RecordBatch | pa.Table, text_col: str, block_bytes: int = B
     """Cut a batch into runs of rows with about ``block_bytes`` of text (a longer text is a run of its own)."""
     if table.num_rows == 0:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(table.column(text_col)), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(table.column(text_col)), 0), dtype=np.int64)
     group = np.cumsum(sizes) // block_bytes
     edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -68,7 +69,7 @@ class Words:
     def __init__(self, texts: pa.Array, lower: bool = True):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
         offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
         n = len(texts)
