@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: keep the Arrow batches that tasks exchange with Python to a few MB (unless the session has set its own size)."""
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "256"),):
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, value)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/quillet-{uuid.uuid4().hex}"

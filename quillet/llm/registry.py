@@ -1,8 +1,8 @@
 """Queries and SQL of the corpus operators."""
 
-from . import line_dedup, lm_scoring, quality_rules
+from . import embedding_dedup, line_dedup, lm_scoring, quality_rules
 
-_MODULES = (lm_scoring, quality_rules, line_dedup)
+_MODULES = (embedding_dedup, lm_scoring, quality_rules, line_dedup)
 
 
 def queries() -> dict:
