@@ -1,8 +1,8 @@
 """Queries and SQL of the corpus operators."""
 
-from . import embedding_dedup, line_dedup, lm_scoring, quality_rules
+from . import embedding_dedup, line_dedup, lm_scoring, quality_rules, toxicity
 
-_MODULES = (embedding_dedup, lm_scoring, quality_rules, line_dedup)
+_MODULES = (embedding_dedup, lm_scoring, quality_rules, line_dedup, toxicity)
 
 
 def queries() -> dict:
