@@ -1,8 +1,8 @@
 """Queries and SQL of the corpus operators."""
 
-from . import embedding_dedup, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from . import embedding_dedup, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec, toxicity
 
-_MODULES = (sentencepiece_codec, quality_classifier, embedding_dedup, lm_scoring, quality_classifier, quality_rules, line_dedup, toxicity)
+_MODULES = (mixing, sentencepiece_codec, quality_classifier, embedding_dedup, lm_scoring, mixing, quality_classifier, quality_rules, line_dedup, toxicity)
 
 
 def queries() -> dict:

@@ -34,6 +34,7 @@ from .text import _powers, mix, slices
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 SHORT = 64
+TRY = 1024
 RESULT = ["ids", "n_pieces", "n_byte_pieces", "round_trip"]
 
 
@@ -84,19 +85,17 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
         codes = np.array(sorted(kids))
         start = max(1, low - int(codes[0]))
         while True:
-            window = free[start + codes[0] : start + codes[0] + 4096]
-            if len(window) == 4096 and not window.any():
-                start += 4096
-                continue
-            at = start + int(np.argmax(window)) if window.any() else size
-            if at + 256 >= size:
+            if start + TRY + 256 >= size:
                 size *= 2
                 base, check, value = (np.concatenate([x, np.full(size - len(x), f, np.int32)]) for x, f in ((base, 0), (check, -1), (value, -1)))
                 free = np.concatenate([free, np.ones(size - len(free), bool)])
-                continue
-            if free[at + codes].all():
+            fits = free[start + codes[0] : start + codes[0] + TRY].copy()
+            for c in codes[1:].tolist():
+                fits &= free[start + c : start + c + TRY]
+            if fits.any():
+                at = start + int(np.argmax(fits))
                 break
-            start = at + 1
+            start += TRY
         base[state] = at
         for c in codes.tolist():
             free[at + c] = False
