@@ -90,16 +90,17 @@ def with_repeats(d: DataFrame) -> DataFrame:
     return d.withColumn("_q_at", F.when(e.isNotNull(), at))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, max_trusted: int = 20_000) -> DataFrame:
     """Documents with the base counts, ``base_failed``, ``score`` (mean log ratio) and ``kept``.
 
-    ``labels``: (id, quality); documents with quality 1 are the trusted target.
+    ``labels``: (doc_id, quality). The target is fitted on at most ``max_trusted`` documents with quality 1, chosen by
+    the hash of their id; the raw counts cover every document.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    trusted_ids = labels.where("quality = 1").select(F.col("doc_id").alias("_q_tid")).where("_q_tid is not null").distinct()
+    trusted_ids = labels.where("quality = 1").select(F.col("doc_id").alias("_q_tid")).where("_q_tid is not null").distinct().orderBy(F.xxhash64("_q_tid"), "_q_tid").limit(max_trusted)
     base = without(docs, RESULT)
     ids = base.select(F.col(f"`{id_col}`").alias("_q_id"), F.col(f"`{text_col}`"))
-    marked = ids.join(trusted_ids, F.col("_q_id") == F.col("_q_tid"), "left")
+    marked = ids.join(F.broadcast(trusted_ids), F.col("_q_id") == F.col("_q_tid"), "left")
     found = _weights(featured(marked, text_col), F.col("_q_tid").isNotNull())
     weights = F.from_json(F.lit(json.dumps(found)), "array<double>")
 
