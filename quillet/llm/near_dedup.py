@@ -8,10 +8,10 @@ shingles: similarity = aligned / (shingles of both - aligned) >= 0.8. The band i
 at that similarity can leave unaligned, so it loses nothing.
 
 Scale: exact copies are one document from the start. Buckets are streams of rows sorted by key; inside one, sketches
-are compared in numpy blocks and only candidates leave the task. In large buckets each document first brings its
-best ``FIRST_PARTNERS`` partners; then links are drawn together to classes, and the round is repeated for documents of
-different classes with four times as many partners, until no candidate between classes is left out. Texts of
-candidates alone are joined to the pairs.
+are compared in numpy blocks and only candidates leave the task. In buckets of over ``SMALL`` documents each document
+first brings its best ``FIRST_PARTNERS`` partners; after these links are drawn together to classes, every candidate
+pair between two classes of such a bucket is tested on its whole shingle sequences, so that no link that could join
+classes is left out. Texts of candidates alone are joined to the pairs.
 
 Defined cases: a text without words, and a row without an id, is alone; a text of under five words is one shingle;
 the smallest id of a class stays; rows that repeat an id and a text are one document and share its result; columns
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,28 +121,113 @@ def similarities(a: pa.Array, b: pa.Array, threshold: float) -> np.ndarray:
     return aligned / np.maximum(na + nb - aligned, 1)
 
 
-def candidates_in(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, partners: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows of one bucket with enough equal entries and different classes; whether some were left out."""
+def agreeing(block: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Number of equal sketch entries of each row of ``block`` with each row of ``sig``."""
+    same = np.zeros((len(block), len(sig)), np.int16)
+    for k in range(SKETCHES):
+        same += block[:, k][:, None] == sig[:, k][None, :]
+    return same
+
+
+def first_pairs(t: pa.Table) -> list[np.ndarray]:
+    """Candidate pairs of one bucket, and whether the bucket left some out: in a large one, each row brings its best partners."""
+    ids, sig = column(t, "rep"), signatures(t)
     g = len(ids)
     left, right, cut = [], [], False
     for s in range(0, g, 512):
-        block = sig[s : s + 512]
-        same = np.zeros((len(block), g), np.int16)
-        for k in range(SKETCHES):
-            same += block[:, k][:, None] == sig[:, k][None, :]
-        ok = (same >= AGREE) & (comp[s : s + 512][:, None] != comp[None, :])
+        same = agreeing(sig[s : s + 512], sig)
+        ok = same >= AGREE
+        ok[np.arange(len(ok)), np.arange(s, s + len(ok))] = False
         if g > SMALL:
-            n_ok = ok.sum(axis=1)
-            for i in np.flatnonzero(n_ok > partners).tolist():
+            for i in np.flatnonzero(ok.sum(axis=1) > FIRST_PARTNERS).tolist():
                 cut = True
-                best = np.flatnonzero(ok[i])
-                drop = best[np.argsort(-same[i, best], kind="stable")[partners:]]
-                ok[i, drop] = False
+                found = np.flatnonzero(ok[i])
+                ok[i, found[np.argsort(-same[i, found], kind="stable")[FIRST_PARTNERS:]]] = False
         i, j = np.nonzero(ok)
-        left.append(i + s)
-        right.append(j)
-    i, j = np.concatenate(left), np.concatenate(right)
-    return ids[i], ids[j], cut
+        left.append(ids[i + s]), right.append(ids[j])
+    x, y = np.concatenate(left), np.concatenate(right)
+    return [np.minimum(x, y), np.maximum(x, y), np.full(len(x), cut)]
+
+
+def links_between(t: pa.Table, threshold: float) -> list[np.ndarray]:
+    """All links of one bucket that join two of its classes, found on whole shingle sequences."""
+    ids, sig, comp = column(t, "rep"), signatures(t), column(t, "comp").copy()
+    lists = t.column("h").combine_chunks()
+    flat = np.asarray(lists.flatten()).view(np.uint64)
+    edge = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))])
+    size = np.diff(edge)
+    names, n = np.unique(comp, return_counts=True)
+    outside = np.flatnonzero(comp != names[n.argmax()])  # pairs inside the largest class need no test
+    left, right = [], []
+    for s in range(0, len(outside), 256):
+        rows = outside[s : s + 256]
+        same = agreeing(sig[rows], sig)
+        for k, i in enumerate(rows.tolist()):
+            near = np.flatnonzero((same[k] >= AGREE) & (comp != comp[i]) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])))
+            if not len(near):
+                continue
+            own = np.sort(flat[edge[i] : edge[i + 1]])
+            row = np.repeat(np.arange(len(near)), size[near])
+            h = flat[np.repeat(edge[near] - (np.cumsum(size[near]) - size[near]), size[near]) + np.arange(len(row))]
+            both = np.bincount(row, weights=own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h, minlength=len(near))
+            for j in near[both >= threshold * (size[near] + size[i] - both)].tolist():
+                if comp[i] == comp[j]:
+                    continue
+                a, b = flat[edge[i] : edge[i + 1]], flat[edge[j] : edge[j + 1]]
+                _, ia, ib = np.intersect1d(a, b, return_indices=True)
+                m = longest_rise(ib[np.argsort(ia)].tolist())
+                if m >= threshold * (len(a) + len(b) - m):
+                    left.append(ids[i]), right.append(ids[j])
+                    comp[comp == comp[j]] = comp[i]
+    return [np.array(left, ids.dtype), np.array(right, ids.dtype)]
+
+
+def column(t: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(t.column(name).combine_chunks())
+
+
+def signatures(t: pa.Table) -> np.ndarray:
+    return np.asarray(t.column("sig").combine_chunks().flatten(), np.int32).reshape(-1, SKETCHES).astype(np.uint16)
+
+
+def streamed(work, names: list[str]):
+    """Apply ``work`` to each bucket of a partition that is sorted by key; buckets of one row are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts)
+            keys = column(t, "key")
+            edge = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            found = [work(t.slice(int(edge[i]), int(edge[i + 1] - edge[i]))) for i in np.flatnonzero(np.diff(edge) > 1).tolist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.asarray(batch.column("key"))
+            last = int(np.flatnonzero(keys == keys[-1])[0])  # rows from here on may go on in the next batch
+            if held and held[-1].column("key")[-1].as_py() != keys[0]:
+                yield from flush(held)
+                held = []
+            if last:
+                yield from flush([*held, batch.slice(0, last)])
+                held = [batch.slice(last)]
+            else:
+                held.append(batch)
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in slices(batch, "text", 1 << 19):
+            h, row = shingles(Words(b.column("text")))
+            edge = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(edge), pa.array(h.view(np.int64)))], ["rep", "h"])
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -171,64 +257,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = base.where(ident.isNotNull()).select(ident.alias("id"), rid.alias("rid"), text.alias("text"))
     marked = saved(rows.mapInArrow(sketch, f"id {id_type}, rid long, fa long, fb long, n long, sig array<long>"))
     reps = saved(marked.groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
-    entries = reps.select("rep", F.posexplode(F.slice("sig", 1, BUCKETS)).alias("k", "key"), "sig", "n").select("rep", "key", "n", F.transform("sig", lambda x: x.bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("sig"))
-
-    def pairs_of(partners: int):
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-                t = pa.Table.from_batches(parts).combine_chunks()
-                keys = np.asarray(t.column("key").combine_chunks())
-                ids, comp = np.asarray(t.column("rep").combine_chunks()), np.asarray(t.column("comp").combine_chunks())
-                sig = np.asarray(t.column("sig").combine_chunks().flatten(), np.int32).reshape(-1, SKETCHES).astype(np.uint16)
-                edge = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-                a, b, cuts = [], [], []
-                for i in np.flatnonzero(np.diff(edge) > 1).tolist():
-                    s = slice(int(edge[i]), int(edge[i + 1]))
-                    if (comp[s] == comp[s][0]).all():
-                        continue
-                    x, y, cut = candidates_in(ids[s], sig[s], comp[s], partners)
-                    a.append(np.minimum(x, y)), b.append(np.maximum(x, y)), cuts.append(np.full(len(x), cut))
-                if not a:
-                    return None
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (a, b, cuts)], ["a", "b", "cut"])
-
-            held: list[pa.RecordBatch] = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = np.asarray(batch.column("key"))
-                # everything before the batch's last key is complete
-                at = int(np.searchsorted(keys == keys[-1], True)) if keys[0] != keys[-1] else 0
-                if at or (held and held[-1].column("key")[-1].as_py() != keys[0]):
-                    if at:
-                        held.append(batch.slice(0, at))
-                    if out := flush(held):
-                        yield out
-                    held = [batch.slice(at)]
-                else:
-                    held.append(batch)
-            if held and (out := flush(held)):
-                yield out
-
-        return find
-
-    small = docs.schema[id_col].dataType.simpleString()
-    links, comp, partners = None, None, FIRST_PARTNERS
-    while True:
-        if comp is None:
-            placed = entries.withColumn("comp", F.col("rep"))
-        else:
-            placed = entries.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-        streams = placed.select("key", "rep", "sig", "comp").repartition("key").sortWithinPartitions("key", "rep")
-        pairs = saved(streams.mapInArrow(pairs_of(partners), f"a {small}, b {small}, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")))
-        state = pairs.agg(F.count(F.lit(1)).alias("n"), F.max("cut").alias("cut")).first()
-        if state["n"]:
-            found = verified(base.select(ident.alias("id"), text.alias("text")), pairs.select("a", "b"), threshold)
-            links = saved(found if links is None else links.union(found))
-            comp = saved(connected_components(links))
-        if not state["n"] or not state["cut"]:
-            break
-        partners *= 4
+    entries = reps.select("rep", F.posexplode(F.slice("sig", 1, BUCKETS)).alias("k", "key"), "sig").select("rep", "key", F.transform("sig", lambda x: x.bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("sig"))
+
+    by_key = lambda d: d.repartition("key").sortWithinPartitions("key", "rep")
+    first = by_key(entries).mapInArrow(streamed(first_pairs, ["a", "b", "cut"]), f"a {id_type}, b {id_type}, cut boolean")
+    pairs = saved(first.groupBy("a", "b").agg(F.max("cut").alias("cut")))
+    state = pairs.agg(F.count(F.lit(1)).alias("n"), F.max("cut").alias("cut")).first()
+    comp = None
+    if state["n"]:
+        texts = base.select(ident.alias("id"), text.alias("text"))
+        links = saved(verified(texts, pairs.select("a", "b"), threshold))
+        comp = saved(connected_components(links))
+        if state["cut"]:
+            placed = entries.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).select("key", "rep", "sig", "comp")
+            open_keys = saved(placed.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("x"), F.max("comp").alias("y")).where((F.col("g") > SMALL) & (F.col("x") < F.col("y"))).select("key"))
+            rest = saved(placed.join(open_keys, "key", "left_semi"))
+            ids = rest.select(F.col("rep").alias("id")).distinct()
+            whole = saved(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(shingle_rows, f"rep {id_type}, h array<long>"))
+            more = by_key(rest.join(whole, "rep")).mapInArrow(streamed(lambda *x: links_between(*x, threshold), ["a", "b"]), f"a {id_type}, b {id_type}")
+            comp = saved(connected_components(links.union(more)))
     own = marked.join(reps.select("fa", "fb", F.col("n").alias("_n"), "rep"), ["fa", "fb"]).where(F.col("n") == F.col("_n")).select("rid", "rep")
     if comp is not None:
         own = own.join(comp, F.col("rep") == F.col("node"), "left").select("rid", F.coalesce("component", "rep").alias("class_id"))
