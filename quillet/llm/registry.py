@@ -1,8 +1,8 @@
 """Queries and SQL of the corpus operators."""
 
-from . import embedding_dedup, line_dedup, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from . import embedding_dedup, fuzzy_passages, line_dedup, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, toxicity
 
-_MODULES = (near_dedup, mixing, sentencepiece_codec, quality_classifier, embedding_dedup, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, line_dedup, toxicity)
+_MODULES = (fuzzy_passages, near_dedup, mixing, sentencepiece_codec, quality_classifier, embedding_dedup, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, line_dedup, toxicity)
 
 
 def queries() -> dict:
