@@ -18,7 +18,7 @@ THRESHOLDS = (0.00001, 0.00005, 0.0001, 0.0005, 0.001, 0.005, 0.01, 0.02, 0.03,
 
 def labelled_samples(doc_stats: DataFrame) -> DataFrame:
     """(doc_id, target, y): a table sample for each document and one for each attribute (map attr -> right)."""
-    t = doc_stats.select("doc_id", F.lit("__table__").alias("target"), F.when("table_ok", 0).otherwise(1).alias("y"))
+    t = doc_stats.select("doc_id", F.lit("__table__").alias("target"), F.when(F.col("table_ok"), 0).otherwise(1).alias("y"))
     return t.union(doc_stats.select("doc_id", F.explode("attrs").alias("target", "ok")).select("doc_id", "target", F.when(F.col("ok"), 0).otherwise(1)))
 
 

@@ -11,8 +11,14 @@ from pyspark.sql.window import Window
 
 from quillet.functions.vectors import cosine, euclidean
 
-BY_SEQ = Window.partitionBy("run_id").orderBy("seq")
-SO_FAR = BY_SEQ.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _by_seq():
+    return Window.partitionBy("run_id").orderBy("seq")
+
+
+def _so_far():
+    return _by_seq().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def schema_features(log: DataFrame, strict_keys: bool = False) -> DataFrame:
@@ -32,13 +38,13 @@ def entropy_of(a: Column, b: Column, both_empty: float = 1.0) -> Column:
 
 def schema_entropy(snapshots: DataFrame, both_empty: float = 1.0) -> DataFrame:
     """Snapshots with ``entropy``: share of features that changed since the step before; 1 at the first step."""
-    before = F.lag("features").over(BY_SEQ)
+    before = F.lag("features").over(_by_seq())
     return snapshots.withColumn("entropy", F.when(before.isNull(), F.lit(1.0)).otherwise(entropy_of(F.col("features"), before, both_empty)))
 
 
 def stability_streak(entropies: DataFrame, theta: float = 0.05) -> DataFrame:
     """``streak``: steps in a row, up to this one, with entropy below ``theta``."""
-    reset = F.sum(F.when(F.col("entropy") < theta, 0).otherwise(1)).over(SO_FAR)
+    reset = F.sum(F.when(F.col("entropy") < theta, 0).otherwise(1)).over(_so_far())
     d = entropies.withColumn("_i", reset)
     return d.withColumn("streak", F.sum(F.when(F.col("entropy") < theta, 1).otherwise(0)).over(Window.partitionBy("run_id", "_i").orderBy("seq"))).drop("_i")
 
@@ -49,7 +55,7 @@ def entropy_statistics(entropies: DataFrame) -> DataFrame:
 
 def stop_point_entropy(snapshots: DataFrame, theta: float = 0.05, m: int = 8, n_min: int = 10, delta: float = 0.05, epsilon: float = 0.05, probabilistic: bool = True) -> DataFrame:
     """(run_id, n, stop_seq, min_sample): the first step with a streak of m, n_min documents and (1 - eps)^n * F <= delta."""
-    d = stability_streak(schema_entropy(snapshots), theta).withColumn("n", F.row_number().over(BY_SEQ)).withColumn("f", F.size("features"))
+    d = stability_streak(schema_entropy(snapshots), theta).withColumn("n", F.row_number().over(_by_seq())).withColumn("f", F.size("features"))
     bound = (F.col("f") > 0) & (F.pow(F.lit(1 - epsilon), F.col("n")) * F.col("f") <= delta) if probabilistic else F.lit(True)
     ok = (F.col("streak") >= m) & (F.col("n") >= n_min) & bound
     need = F.when(F.col("f") > 0, F.greatest(F.ceil(F.ln(F.col("f") / delta) / epsilon), F.lit(n_min))).otherwise(F.lit(n_min))
@@ -66,7 +72,7 @@ def _occurrences(snapshots: DataFrame) -> DataFrame:
 def good_turing(snapshots: DataFrame, delta: float = 0.05, n_min: int = 50, batch: int = 5) -> DataFrame:
     """Snapshots with ``n``, ``n1`` (features seen once so far), ``missing`` = n1 / n, and ``stop`` at the ends of batches."""
     d = snapshots.select("run_id", "seq").join(_occurrences(snapshots), ["run_id", "seq"], "left")
-    d = d.withColumn("n", F.row_number().over(BY_SEQ)).withColumn("n1", F.sum(F.coalesce("firsts", F.lit(0)) - F.coalesce("seconds", F.lit(0))).over(SO_FAR))
+    d = d.withColumn("n", F.row_number().over(_by_seq())).withColumn("n1", F.sum(F.coalesce("firsts", F.lit(0)) - F.coalesce("seconds", F.lit(0))).over(_so_far()))
     d = d.withColumn("missing", F.col("n1") / F.col("n"))
     return d.select("run_id", "seq", "n", "n1", "missing", ((F.col("n") >= n_min) & (F.col("n") % batch == 0) & (F.col("missing") < delta)).alias("stop"))
 
@@ -77,8 +83,8 @@ def frequency_of_frequencies(snapshots: DataFrame) -> DataFrame:
 
 def legacy_stop(snapshots: DataFrame, theta: float = 0.05, m: int = 3, coverage: float = 0.95, min_docs: int = 10) -> DataFrame:
     """(run_id, n, stop_n): the first step, from min_docs on, with a streak of m or with a share of features seen twice."""
-    d = stability_streak(schema_entropy(snapshots, 0.0), theta).join(_occurrences(snapshots), ["run_id", "seq"], "left").withColumn("n", F.row_number().over(BY_SEQ))
-    d = d.withColumn("seen", F.sum(F.coalesce("firsts", F.lit(0))).over(SO_FAR)).withColumn("twice", F.sum(F.coalesce("seconds", F.lit(0))).over(SO_FAR))
+    d = stability_streak(schema_entropy(snapshots, 0.0), theta).join(_occurrences(snapshots), ["run_id", "seq"], "left").withColumn("n", F.row_number().over(_by_seq()))
+    d = d.withColumn("seen", F.sum(F.coalesce("firsts", F.lit(0))).over(_so_far())).withColumn("twice", F.sum(F.coalesce("seconds", F.lit(0))).over(_so_far()))
     ok = (F.col("n") >= min_docs) & ((F.col("streak") >= m) | ((F.col("seen") > 0) & (F.col("twice") >= coverage * F.col("seen"))))
     return d.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(ok, F.col("n"))).alias("stop_n"))
 

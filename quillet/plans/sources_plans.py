@@ -254,3 +254,9 @@ def e09_single_shot(spark, sf):
     many = F.concat(F.lit('[{"status": "?"}, {"priority": "'), "o_orderpriority", F.lit('"}, '), one, F.lit("]"))
     raw = o.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.when(F.col("o_orderkey") % 2 == 0, many).otherwise(one).alias("raw_text"))
     return P.single_shot(raw).select("doc_id", F.size("data").alias("n"), F.element_at("data", "status").alias("status"))
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id FROM orders WHERE o_orderkey % 29 <> 0 AND {_PRIORITY} = 'N/A'")
+def q19_missing_values(spark, sf):
+    rows = e05_assemble_rows(spark, sf).where("res = 'orders'")
+    return rows.where(is_null(F.col("priority"))).select("doc_id")
