@@ -260,3 +260,22 @@ def e09_single_shot(spark, sf):
 def q19_missing_values(spark, sf):
     rows = e05_assemble_rows(spark, sf).where("res = 'orders'")
     return rows.where(is_null(F.col("priority"))).select("doc_id")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderstatus AS status FROM orders")
+def e08_extract_with_function(spark, sf):
+    def status(batches):
+        for p in batches:
+            yield p[["doc_id"]].assign(status=p["doc_text"].str.extract(r"status (\w)", expand=False))
+
+    return P.extract_with(order_documents(spark, sf).select("doc_id", "doc_text"), status, "doc_id string, status string")
+
+
+@query("SELECT c_custkey AS doc_id, 'orders' AS gt_table, min_by(o_orderstatus, o_orderkey) AS status FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def g01_pairing(spark, sf):
+    o = table(spark, sf, "orders")
+    mapping = o.select(F.col("o_custkey").alias("doc_id"), F.lit("orders").alias("table_name"), F.col("o_orderkey").alias("row_id"))
+    truth = o.select(F.lit("orders").alias("table_name"), F.col("o_orderkey").alias("row_id"), F.create_map(F.lit("status"), F.col("o_orderstatus")).alias("data"))
+    info = D.document_info(table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id")), mapping, truth).where("n_records > 0")
+    first = F.get("records", F.lit(0))
+    return info.select("doc_id", first["table_name"].alias("gt_table"), F.element_at(F.map_from_entries(first["data"]), "status").alias("status"))

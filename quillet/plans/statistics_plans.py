@@ -546,6 +546,6 @@ def e11_pool_tokens(spark, sf):
     return x.select("item_id", (F.col("i") + 1).cast("long").alias("dim"), F.round("m", 6).alias("mean"), F.round(F.get("pooled", (F.col("d") + F.col("i")).cast("int")), 6).alias("high"))
 
 
-@query()
+@query("SELECT item_id, CAST(min_by(i - 1, i) AS INTEGER) AS start, 2 AS n FROM (SELECT item_id, t, generate_subscripts(t, 1) AS i FROM (SELECT item_id, string_split(text, ' ') AS t FROM benchmark) b) s WHERE t[i] || t[i + 1] = t[2] || t[3] GROUP BY item_id")
 def e10_align_span(spark, sf):
     return _aligned(spark, sf)

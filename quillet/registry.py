@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillet.plans import relational, sources_plans
+from quillet.plans import relational, sources_plans, statistics_plans
 
-_MODULES = (sources_plans, relational)
+_MODULES = (sources_plans, statistics_plans, relational)
 
 
 def queries() -> dict:
