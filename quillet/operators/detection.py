@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillet.functions.ranks import global_rank
 from quillet.operators.evaluation import ratio
 
 THRESHOLDS = (0.00001, 0.00005, 0.0001, 0.0005, 0.001, 0.005, 0.01, 0.02, 0.03, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.97, 0.99, 0.995, 0.999)  # fixed values
@@ -32,9 +33,10 @@ def oversample(samples: DataFrame, label: str = "y", order: str = "doc_id") -> D
 
 
 def ordered_split(samples: DataFrame, share: float, order: str = "doc_id") -> DataFrame:
-    """``is_train`` for the first share of the documents in order; documents are numbered, not rows collected."""
-    docs = samples.select(order).distinct().withColumn("rank", F.percent_rank().over(Window.orderBy(order)))
-    return samples.join(docs, order).withColumn("is_train", F.col("rank") < share).drop("rank")
+    """``is_train`` for the first share of the documents in order (by percent rank)."""
+    docs = global_rank(samples.select(order).distinct(), order, name="_rank")
+    n = docs.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).alias("_n"))
+    return samples.join(docs, order).crossJoin(F.broadcast(n)).withColumn("is_train", F.col("_rank") / F.col("_n") < share).drop("_rank", "_n")
 
 
 def train_classifier(samples: DataFrame, features: str = "features", label: str = "y", hidden: int = 0, seed: int = 1):

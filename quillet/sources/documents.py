@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillet.functions.ranks import global_rank
+
 DOCUMENT = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.StringType()), ("doc_text", T.StringType()), ("source_file", T.StringType()), ("parent_doc_id", T.StringType()), ("chunk_index", T.IntegerType()), ("ord", T.LongType()))])
 
 
@@ -30,7 +32,7 @@ def resolve_text(docs: DataFrame, files: DataFrame) -> DataFrame:
 
 def read_text_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of all files below a folder, one row a file; the path is relative to the folder."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     return raw.select(F.regexp_replace(F.col("_metadata.file_path"), f"^.*{root.rstrip('/')}/", "").alias("path"), F.col("value").alias("text"))
 
 
@@ -88,14 +90,13 @@ def clean_name(c: Column) -> Column:
 def convert_dataset(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents ({n}-0) and their mapping to rows, numbered from 0 inside each table in document order.
 
-    The number of a row is its rank inside its table; the window sorts one table's keys, not texts.
+    The number of a row is its rank in (table, document) order less that of its table's first row.
     """
-    from pyspark.sql.window import Window
-
     n = normalized.withColumn("ord", F.expr("try_cast(n AS bigint)"))
     docs = n.select(F.concat("n", F.lit("-0")).alias("doc_id"), "doc_text", "ord")
-    by = Window.partitionBy("table_name").orderBy("ord")
-    mapping = n.where("table_name <> ''").select("n", "ord", clean_name(F.col("table_name")).alias("table_name")).withColumn("row_id", (F.row_number().over(by) - 1).cast("string")).select(F.concat("n", F.lit("-0")).alias("doc_id"), "table_name", "row_id", F.lit("full").alias("match_type"))
+    ranked = global_rank(n.where("table_name <> ''").select("n", "ord", clean_name(F.col("table_name")).alias("table_name")), "table_name", "ord")
+    start = ranked.groupBy("table_name").agg(F.min("rank").alias("start"))
+    mapping = ranked.join(start, "table_name").select(F.concat("n", F.lit("-0")).alias("doc_id"), "table_name", (F.col("rank") - F.col("start")).cast("string").alias("row_id"), F.lit("full").alias("match_type"))
     return docs, mapping
 
 
