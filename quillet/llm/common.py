@@ -47,3 +47,8 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def hot_keys(counts: DataFrame, n_col: str, total: int, max_keys: int) -> DataFrame:
     """Keys with over 1/max_keys of all occurrences: fewer than ``max_keys`` rows whatever the input, so they can be broadcast."""
     return counts.where(F.col(n_col) > F.lit(max(1, total // max_keys)))
+
+
+def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows (it is counted), as it is otherwise. For narrow tables."""
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -11,7 +11,8 @@ Scale: exact copies are one document from the start. Buckets are streams of rows
 are compared in numpy blocks and only candidates leave the task. In buckets of over ``SMALL`` documents each document
 first brings its best ``FIRST_PARTNERS`` partners; after these links are drawn together to classes, every candidate
 pair between two classes of such a bucket is tested on its whole shingle sequences, so that no link that could join
-classes is left out. Texts of candidates alone are joined to the pairs.
+classes is left out. Texts of
+candidates alone are joined to the pairs: their ids pick them without a shuffle while there are up to a million.
 
 Defined cases: a text without words, and a row without an id, is alone; a text of under five words is one shingle;
 the smallest id of a class stays; rows that repeat an id and a text are one document and share its result; columns
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, without
+from .common import saved, small_batches, small_side, without
 from .components import connected_components
 from .text import Words, mix, slices
 
@@ -272,8 +273,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             placed = entries.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).select("key", "rep", "sig", "comp")
             open_keys = saved(placed.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("x"), F.max("comp").alias("y")).where((F.col("g") > SMALL) & (F.col("x") < F.col("y"))).select("key"))
             rest = saved(placed.join(open_keys, "key", "left_semi"))
-            ids = rest.select(F.col("rep").alias("id")).distinct()
-            whole = saved(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(shingle_rows, f"rep {id_type}, h array<long>"))
+            ids = saved(rest.select(F.col("rep").alias("id")).distinct())
+            whole = saved(texts.join(small_side(ids), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(shingle_rows, f"rep {id_type}, h array<long>"))
             more = by_key(rest.join(whole, "rep")).mapInArrow(streamed(lambda *x: links_between(*x, threshold), ["a", "b"]), f"a {id_type}, b {id_type}")
             comp = saved(connected_components(links.union(more)))
     own = marked.join(reps.select("fa", "fb", F.col("n").alias("_n"), "rep"), ["fa", "fb"]).where(F.col("n") == F.col("_n")).select("rid", "rep")
@@ -290,7 +291,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of ids whose texts are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    used = saved(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    used = saved(texts.join(small_side(saved(ids)), "id", "left_semi").dropDuplicates(["id"]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
