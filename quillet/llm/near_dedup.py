@@ -11,8 +11,10 @@ Scale: exact copies are one document from the start. Buckets are streams of rows
 are compared in numpy blocks and only candidates leave the task. In buckets of over ``SMALL`` documents each document
 first brings its best ``FIRST_PARTNERS`` partners; after these links are drawn together to classes, every candidate
 pair between two classes of such a bucket is tested on its whole shingle sequences, so that no link that could join
-classes is left out. Texts of
-candidates alone are joined to the pairs: their ids pick them without a shuffle while there are up to a million.
+classes is left out. No bucket is one task: at first a bucket of over ``block_rows`` documents is dealt into blocks
+which share a few pivots, and later each block of the documents outside its largest class meets each block of all its
+documents in a tile of its own, bounded in rows and in words. Texts of candidates alone are joined to the pairs: their
+ids pick them without a shuffle while there are up to a million.
 
 Defined cases: a text without words, and a row without an id, is alone; a text of under five words is one shingle;
 the smallest id of a class stays; rows that repeat an id and a text are one document and share its result; columns
@@ -37,6 +39,7 @@ from .text import Words, mix, slices
 WIDTH = 5
 SKETCHES, BUCKETS, AGREE = 24, 12, 7
 SMALL, FIRST_PARTNERS = 48, 8
+BLOCK_ROWS, BLOCK_WORDS, PIVOT_SHARE = 2048, 1 << 21, 64
 RESULT = ["class_id", "class_kept"]
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -131,8 +134,8 @@ def agreeing(block: np.ndarray, sig: np.ndarray) -> np.ndarray:
 
 
 def first_pairs(t: pa.Table) -> list[np.ndarray]:
-    """Candidate pairs of one bucket, and whether the bucket left some out: in a large one, each row brings its best partners."""
-    ids, sig = column(t, "rep"), signatures(t)
+    """Candidate pairs of one block, and whether it left some out: in a large one, each row brings its best partners and its two best pivots."""
+    ids, sig, pivots = column(t, "rep"), signatures(t), np.flatnonzero(np.asarray(t.column("pivot").combine_chunks().cast(pa.int8())))
     g = len(ids)
     left, right, cut = [], [], False
     for s in range(0, g, 512):
@@ -144,6 +147,8 @@ def first_pairs(t: pa.Table) -> list[np.ndarray]:
                 cut = True
                 found = np.flatnonzero(ok[i])
                 ok[i, found[np.argsort(-same[i, found], kind="stable")[FIRST_PARTNERS:]]] = False
+                hubs = np.intersect1d(found, pivots)
+                ok[i, hubs[np.argsort(-same[i, hubs], kind="stable")[:2]]] = True
         i, j = np.nonzero(ok)
         left.append(ids[i + s]), right.append(ids[j])
     x, y = np.concatenate(left), np.concatenate(right)
@@ -151,35 +156,52 @@ def first_pairs(t: pa.Table) -> list[np.ndarray]:
 
 
 def links_between(t: pa.Table, threshold: float) -> list[np.ndarray]:
-    """All links of one bucket that join two of its classes, found on whole shingle sequences."""
-    ids, sig, comp = column(t, "rep"), signatures(t), column(t, "comp").copy()
+    """All links of one tile that join two classes, found on whole shingle sequences: its ``seeker`` rows, which are outside
+    the bucket's largest class, with its other rows. Two outside rows are tested once, and a pair in the first bucket that it shares."""
+    ids, wide, comp, entry = column(t, "rep"), signatures(t, np.uint32), column(t, "comp").copy(), int(t.column("k")[0].as_py())
+    sig = wide.astype(np.uint16)
+    seeker, outside = (np.asarray(t.column(c).combine_chunks().cast(pa.int8())).astype(bool) for c in ("seeker", "outside"))
     lists = t.column("h").combine_chunks()
     flat = np.asarray(lists.flatten()).view(np.uint64)
     edge = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))])
     size = np.diff(edge)
-    names, n = np.unique(comp, return_counts=True)
-    outside = np.flatnonzero(comp != names[n.argmax()])  # pairs inside the largest class need no test
+    seekers, others = np.flatnonzero(seeker), np.flatnonzero(~seeker)
+    code, mark = None, None
     left, right = [], []
-    for s in range(0, len(outside), 256):
-        rows = outside[s : s + 256]
-        same = agreeing(sig[rows], sig)
+    for s in range(0, len(seekers), 256):
+        rows = seekers[s : s + 256]
+        same = agreeing(sig[rows], sig[others])
         for k, i in enumerate(rows.tolist()):
-            near = np.flatnonzero((same[k] >= AGREE) & (comp != comp[i]) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])))
+            hit = np.flatnonzero(same[k] >= AGREE)
+            near = others[hit]
+            ok = (comp[near] != comp[i]) & (~outside[near] | (ids[near] > ids[i])) & (np.minimum(size[near], size[i]) >= threshold * np.maximum(size[near], size[i]))
+            ok &= ~(wide[near, :entry] == wide[i, :entry]).any(axis=1)
+            hit, near = hit[ok], near[ok]
             if not len(near):
                 continue
-            own = np.sort(flat[edge[i] : edge[i + 1]])
-            row = np.repeat(np.arange(len(near)), size[near])
-            h = flat[np.repeat(edge[near] - (np.cumsum(size[near]) - size[near]), size[near]) + np.arange(len(row))]
-            both = np.bincount(row, weights=own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h, minlength=len(near))
-            for j in near[both >= threshold * (size[near] + size[i] - both)].tolist():
-                if comp[i] == comp[j]:
+            if code is None:
+                code = np.unique(flat, return_inverse=True)[1]
+                mark = np.zeros(len(flat), bool)
+            mark[code[edge[i] : edge[i + 1]]] = True
+            near = near[np.argsort(-same[k, hit], kind="stable")]
+            for c in range(0, len(near), 256):
+                part = near[c : c + 256]
+                part = part[comp[part] != comp[i]]
+                if not len(part):
                     continue
-                a, b = flat[edge[i] : edge[i + 1]], flat[edge[j] : edge[j + 1]]
-                _, ia, ib = np.intersect1d(a, b, return_indices=True)
-                m = longest_rise(ib[np.argsort(ia)].tolist())
-                if m >= threshold * (len(a) + len(b) - m):
-                    left.append(ids[i]), right.append(ids[j])
-                    comp[comp == comp[j]] = comp[i]
+                start = np.cumsum(size[part]) - size[part]
+                h = np.repeat(edge[part] - start, size[part]) + np.arange(int(size[part].sum()))
+                both = np.add.reduceat(mark[code[h]], start, dtype=np.int64)
+                for j in part[both >= threshold * (size[part] + size[i] - both)].tolist():
+                    if comp[i] == comp[j]:
+                        continue
+                    a, b = flat[edge[i] : edge[i + 1]], flat[edge[j] : edge[j + 1]]
+                    _, ia, ib = np.intersect1d(a, b, return_indices=True)
+                    m = longest_rise(ib[np.argsort(ia)].tolist())
+                    if m >= threshold * (len(a) + len(b) - m):
+                        left.append(ids[i]), right.append(ids[j])
+                        comp[comp == comp[j]] = comp[i]
+            mark[code[edge[i] : edge[i + 1]]] = False
     return [np.array(left, ids.dtype), np.array(right, ids.dtype)]
 
 
@@ -187,8 +209,40 @@ def column(t: pa.Table, name: str) -> np.ndarray:
     return np.asarray(t.column(name).combine_chunks())
 
 
-def signatures(t: pa.Table) -> np.ndarray:
-    return np.asarray(t.column("sig").combine_chunks().flatten(), np.int32).reshape(-1, SKETCHES).astype(np.uint16)
+def signatures(t: pa.Table, kind: type = np.uint16) -> np.ndarray:
+    return np.asarray(t.column("sig").combine_chunks().flatten(), np.int32).reshape(-1, SKETCHES).astype(kind)
+
+
+def number(n, of: int):
+    """Number of blocks of ``of`` that hold ``n``."""
+    return F.greatest(F.ceil(n / F.lit(of)), F.lit(1)).cast("int")
+
+
+def in_blocks(entries: DataFrame, block_rows: int) -> DataFrame:
+    """(key, rep, sig, pivot): rows of buckets of over ``block_rows`` documents are dealt into blocks with a key of their
+    own; about block_rows / PIVOT_SHARE of a bucket's rows are pivots, which are in every block of it."""
+    wide = entries.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") > block_rows).select("key", number(F.col("g"), block_rows).alias("blocks"))
+    d = entries.join(small_side(saved(wide)), "key", "left").withColumn("pivot", F.coalesce(F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("blocks") * PIVOT_SHARE) == 0, F.lit(False)))
+    own = F.pmod(F.xxhash64(F.lit(9), "rep"), F.coalesce("blocks", F.lit(1))).cast("int")
+    d = d.withColumn("block", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    return d.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", "block")).alias("key"), "rep", "sig", "pivot", F.col("blocks").isNotNull().alias("wide"))
+
+
+def in_tiles(placed: DataFrame, block_rows: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(key, k, rep, sig, comp, outside, seeker): a tile for each block of a bucket's rows outside its largest class and each
+    block of all its rows. ``placed``: (key, k, rep, n, sig, comp). Buckets that were compared whole or are one class have none."""
+    per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("w"))
+    open_ = per.groupBy("key").agg(F.sum("g").alias("g"), F.sum("w").alias("w"), F.max(F.struct("g", "comp", "w")).alias("top"), F.count(F.lit(1)).alias("classes")).where((F.col("g") > min(SMALL, block_rows)) & (F.col("classes") > 1))
+    n = lambda g, w: F.greatest(number(g, block_rows), number(w, block_words))
+    open_ = saved(open_.select("key", F.col("top.comp").alias("top"), n(F.col("g"), F.col("w")).alias("all"), n(F.col("g") - F.col("top.g"), F.col("w") - F.col("top.w")).alias("out")))
+    d = placed.join(small_side(open_), "key").withColumn("outside", F.col("comp") != F.col("top"))
+    hashed = F.xxhash64(F.lit(11), "rep")
+    own = lambda c: F.pmod(hashed, F.col(c)).cast("int")
+    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    met = F.transform(each("out"), lambda o: F.struct(F.lit(False).alias("seeker"), o.alias("o"), own("all").alias("a")))
+    seeks = F.when(F.col("outside"), F.transform(each("all"), lambda a: F.struct(F.lit(True).alias("seeker"), own("out").alias("o"), a.alias("a"))))
+    d = d.withColumn("t", F.explode(F.concat(met, F.coalesce(seeks, F.array().cast("array<struct<seeker:boolean,o:int,a:int>>")))))
+    return d.select(F.xxhash64("key", "t.o", "t.a").alias("key"), "k", "rep", "sig", "comp", "outside", F.col("t.seeker").alias("seeker"))
 
 
 def streamed(work, names: list[str]):
@@ -231,7 +285,7 @@ def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(edge), pa.array(h.view(np.int64)))], ["rep", "h"])
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Documents with ``class_id`` (the smallest id of the class) and ``class_kept`` (whether this one stays)."""
     small_batches(docs.sparkSession)
     base = without(docs, RESULT)
@@ -258,24 +312,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = base.where(ident.isNotNull()).select(ident.alias("id"), rid.alias("rid"), text.alias("text"))
     marked = saved(rows.mapInArrow(sketch, f"id {id_type}, rid long, fa long, fb long, n long, sig array<long>"))
     reps = saved(marked.groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
-    entries = reps.select("rep", F.posexplode(F.slice("sig", 1, BUCKETS)).alias("k", "key"), "sig").select("rep", "key", F.transform("sig", lambda x: x.bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("sig"))
+    entries = lambda mask: reps.select("rep", "n", F.posexplode(F.slice("sig", 1, BUCKETS)).alias("k", "key"), "sig").withColumn("sig", F.transform("sig", lambda x: x.bitwiseAND(F.lit(mask)).cast("int")))
 
     by_key = lambda d: d.repartition("key").sortWithinPartitions("key", "rep")
-    first = by_key(entries).mapInArrow(streamed(first_pairs, ["a", "b", "cut"]), f"a {id_type}, b {id_type}, cut boolean")
+    blocks = in_blocks(entries(0xFFFF).select("key", "rep", "sig"), block_rows)
+    wide = bool(blocks.where("wide").head(1))
+    first = by_key(blocks.drop("wide")).mapInArrow(streamed(first_pairs, ["a", "b", "cut"]), f"a {id_type}, b {id_type}, cut boolean")
     pairs = saved(first.groupBy("a", "b").agg(F.max("cut").alias("cut")))
-    state = pairs.agg(F.count(F.lit(1)).alias("n"), F.max("cut").alias("cut")).first()
+    state = pairs.where("a <> b").agg(F.count(F.lit(1)).alias("n"), F.max("cut").alias("cut")).first()
     comp = None
-    if state["n"]:
+    if state["n"] or wide:
         texts = base.select(ident.alias("id"), text.alias("text"))
-        links = saved(verified(texts, pairs.select("a", "b"), threshold))
+        links = saved(verified(texts, pairs.where("a <> b").select("a", "b"), threshold))
         comp = saved(connected_components(links))
-        if state["cut"]:
-            placed = entries.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).select("key", "rep", "sig", "comp")
-            open_keys = saved(placed.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("x"), F.max("comp").alias("y")).where((F.col("g") > SMALL) & (F.col("x") < F.col("y"))).select("key"))
-            rest = saved(placed.join(open_keys, "key", "left_semi"))
+        if state["cut"] or wide:
+            placed = entries(0x7FFFFFFF).join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).select("key", "k", "rep", "n", "sig", "comp")
+            rest = saved(in_tiles(placed, block_rows))
             ids = saved(rest.select(F.col("rep").alias("id")).distinct())
             whole = saved(texts.join(small_side(ids), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(shingle_rows, f"rep {id_type}, h array<long>"))
-            more = by_key(rest.join(whole, "rep")).mapInArrow(streamed(lambda *x: links_between(*x, threshold), ["a", "b"]), f"a {id_type}, b {id_type}")
+            parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            tiles = rest.join(whole, "rep").repartition(parts, "key").sortWithinPartitions("key", "rep")
+            more = tiles.mapInArrow(streamed(lambda *x: links_between(*x, threshold), ["a", "b"]), f"a {id_type}, b {id_type}")
             comp = saved(connected_components(links.union(more)))
     own = marked.join(reps.select("fa", "fb", F.col("n").alias("_n"), "rep"), ["fa", "fb"]).where(F.col("n") == F.col("_n")).select("rid", "rep")
     if comp is not None:
