@@ -7,8 +7,9 @@ finds the pairs within that budget; the union of candidates is verified by cosin
 counts in the first block whose budget it meets, so it is counted once and no distinct over pairs is needed.
 
 Scale: identical vectors are one vector with a count. A task emits, for its cell, link counts and a spanning forest
-of the links, never the pairs themselves. Cells with over ``cell_rows`` vectors are split into chunks; each chunk
-meets the vectors of its own and the next cells.
+of the links, never the pairs themselves. Cells with over ``cell_rows`` vectors are split into chunks; wherever one of
+two cells that meet is split, each pair of their chunks is a group of its own, so that a group holds two chunks at most
+(or, where none is split, a cell and four next ones).
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and vectors without a label, link
 with nothing; vectors of different lengths never link; rows equal in id, label and vector are one row; columns named
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, without
+from .common import saved, small_batches, small_side, without
 from .components import connected_components
 
 BLOCKS = 8
@@ -91,6 +92,42 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
+def in_tiles(cells: DataFrame, dense: DataFrame, where: list[str]) -> DataFrame:
+    """``cells`` once for each group (``where``, chunk, dx, dy, source) that a vector is in, and whether it is at ``home`` there.
+
+    A group holds a chunk of a cell and one chunk (``source``) of the cell at (-dx, -dy) from it, so that each pair of cells
+    meets once; if dx = dy = 0 and source = chunk, the vectors at home also meet each other. Vectors of cells that are not
+    split visit the latter group of a next cell that is not split either. ``dense``: (``where``, chunks) of split cells.
+    """
+    roles = [F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(home).alias("home")) for x, y in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1)) for home in (True, False)]
+    fixed = where[:-2]
+    d = cells.withColumn("s", F.explode(F.array(*roles))).select(*cells.columns, "s.*")
+    # the cell at home in the group, and the one that its visitors come from
+    d = d.withColumn("hx", F.col("cx") + F.when(F.col("home"), 0).otherwise(F.col("dx"))).withColumn("hy", F.col("cy") + F.when(F.col("home"), 0).otherwise(F.col("dy")))
+    d = d.withColumn("vx", F.col("hx") - F.col("dx")).withColumn("vy", F.col("hy") - F.col("dy"))
+    side = small_side(dense)
+    for x, y, n in (("hx", "hy", "hn"), ("vx", "vy", "vn")):
+        d = d.join(side.select(*fixed, F.col("cx").alias(x), F.col("cy").alias(y), F.col("chunks").alias(n)), [*fixed, x, y], "left")
+    split = F.col("hn").isNotNull() | F.col("vn").isNotNull()
+    same_cell = (F.col("dx") == 0) & (F.col("dy") == 0)
+    hn, vn = F.coalesce("hn", F.lit(1)), F.coalesce("vn", F.lit(1))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("home"), hn).otherwise(vn)).cast("int")
+    group = lambda chunk, source: F.struct(chunk.cast("int").alias("chunk"), source.cast("int").alias("source"))
+    upto = lambda first, last: F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    zero = F.lit(0)
+    groups = (
+        F.when(same_cell & F.col("home"), F.transform(upto(zero, F.col("own")), lambda i: group(F.col("own"), i)))
+        .when(same_cell, F.transform(upto(F.col("own") + 1, hn - 1), lambda j: group(j, F.col("own"))))
+        .when(F.col("home"), F.transform(F.when(split, upto(zero, vn - 1)).otherwise(F.array().cast("array<int>")), lambda i: group(F.col("own"), i)))
+        .otherwise(F.transform(upto(zero, hn - 1), lambda j: group(j, F.col("own"))))
+    )
+    d = d.withColumn("own", own).withColumn("g", F.explode(groups))
+    # without a split cell, visitors join the group of the cell itself
+    merged = lambda c: F.when(split, F.col(c)).otherwise(zero).alias(c)
+    values = [c for c in cells.columns if c not in where]
+    return d.select(*values, *fixed, F.col("hx").alias("cx"), F.col("hy").alias("cy"), F.col("g.chunk").alias("chunk"), merged("dx"), merged("dy"), F.col("g.source").alias("source"), "home")
+
+
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, cell_rows: int = 4096) -> DataFrame:
     """Vectors with ``n_links``, ``component_id`` and ``kept``."""
     small_batches(vectors.sparkSession)
@@ -123,14 +160,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     cells = reps.select("label", "rep", "copies", "e").mapInArrow(to_cells, f"label {l_type}, rep {i_type}, copies long, e {e_type}, dim int, block int, cx int, cy int")
     where = ["label", "dim", "block", "cx", "cy"]
     dense = saved(cells.groupBy(*where).count().where(F.col("count") > cell_rows).withColumn("chunks", F.ceil(F.col("count") / cell_rows).cast("int")).drop("count"))
-    # a vector is at home in its cell and visits the next cells, so that each pair of cells meets once
-    steps = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
-    placed = cells.withColumn("s", F.explode(steps)).withColumn("home", (F.col("s.dx") == 0) & (F.col("s.dy") == 0)).withColumn("cx", F.col("cx") + F.col("s.dx")).withColumn("cy", F.col("cy") + F.col("s.dy")).drop("s")
-    chunks = F.coalesce("chunks", F.lit(1))
-    own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
-    # in a split cell a vector is at home in one chunk and visits the later chunks
-    visits = F.when(F.col("home"), F.sequence(own, chunks - 1)).otherwise(F.sequence(F.lit(0), chunks - 1))
-    tiles = placed.join(dense, where, "left").withColumn("own", own).withColumn("chunk", F.explode(visits)).withColumn("home", F.col("home") & (F.col("chunk") == F.col("own"))).drop("chunks", "own")
+    tiles = in_tiles(cells, dense, where)
 
     def link(table: pa.Table) -> pa.Table:
         x = matrix(table.column("e"))
@@ -139,8 +169,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         ids, copies = table.column("rep"), np.asarray(table.column("copies").combine_chunks(), np.int64)
         dim, block = int(table.column("dim")[0].as_py()), int(table.column("block")[0].as_py())
         h, o = np.flatnonzero(home), np.flatnonzero(~home)
+        chunk, dx, dy, source = (table.column(c)[0].as_py() for c in ("chunk", "dx", "dy", "source"))
         n_links, left, right = np.zeros(len(x), np.int64), [], []
-        for other, same in ((h, True), (o, False)):
+        for other, same in ((h, True), (o, False)) if (dx, dy, source) == (0, 0, chunk) else ((o, False),):
             for i, j in pairs_in(rot, h, other, block, block_edges(dim), budget(dim, threshold), same):
                 ok = np.zeros(len(i), bool)
                 for s in range(0, len(i), 1 << 16):
@@ -153,7 +184,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         some = np.flatnonzero(n_links)
         return pa.table({"a": ids.take(pa.array(some)), "b": ids.take(pa.array(low[some])), "n": pa.array(n_links[some])})
 
-    found = saved(tiles.groupBy(*where, "chunk").applyInArrow(link, f"a {i_type}, b {i_type}, n long"))
+    found = saved(tiles.groupBy(*where, "chunk", "dx", "dy", "source").applyInArrow(link, f"a {i_type}, b {i_type}, n long"))
     comp = connected_components(found.select("a", "b"))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     facts = saved(reps.join(counts, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").select("key", F.col("label").alias("_q_l"), F.col("e").alias("_q_e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
