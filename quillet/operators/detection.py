@@ -189,10 +189,19 @@ def pool_tokens(tokens: DataFrame, *keys: str) -> DataFrame:
     return d.groupBy(*keys).agg(both.alias("b")).select(*keys, F.concat(F.transform("b", lambda s: s["m"]), F.transform("b", lambda s: s["h"])).alias("pooled"))
 
 
-def align_span(tokens: Column, value: Column, max_tokens: int = 16) -> Column:
-    """struct(start, n): first run of tokens whose joined text equals the value, without quotes and spaces; null if none."""
+def align_span(tokens: Column, value: Column) -> Column:
+    """struct(start, n): first run of tokens whose joined text equals the value, without quotes and spaces; null if none.
+    A start grows until its text is longer than the value."""
     clean = lambda c: F.regexp_replace(c, "[\"'\\s]", "")
+    texts, want = F.transform(tokens, lambda t: clean(F.coalesce(t, F.lit("")))), clean(value)
+
+    def grown(s, t):
+        acc, k = F.concat(s["acc"], t), s["k"] + 1
+        state = F.struct(acc.alias("acc"), k.alias("k"), F.when(acc == want, k).when(F.length(acc) > F.length(want), -1).otherwise(0).alias("n"))
+        return F.when(s["n"] != 0, s).otherwise(state)
+
+    none = F.struct(F.lit("").alias("acc"), F.lit(0).alias("k"), F.lit(0).alias("n"))
+    length = lambda i: F.aggregate(F.slice(texts, i + 1, F.size(texts)), none, grown, lambda s: s["n"])
     starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(max_tokens)), lambda n: F.struct(i.alias("start"), n.alias("n")))))
-    ok = F.filter(runs, lambda r: (r["start"] + r["n"] <= F.size(tokens)) & (clean(F.array_join(F.slice(tokens, r["start"] + 1, r["n"]), "")) == clean(value)))
-    return F.get(ok, F.lit(0))
+    first = F.aggregate(starts, F.struct(F.lit(0).alias("start"), F.lit(0).alias("n")), lambda r, i: F.when(r["n"] > 0, r).otherwise(F.struct(i.alias("start"), length(i).alias("n"))))
+    return F.when(first["n"] > 0, first)
