@@ -1,4 +1,4 @@
-"""Row numbers over a whole table without one task that sorts it."""
+"""Row numbers and running sums over a whole table without one task that sorts it."""
 
 from __future__ import annotations
 
@@ -6,18 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillet.functions.shared import saved
+
 _LOCAL = (1 << 33) - 1
 
 
+def _ranged(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Rows in ranges of the order with ``_p``, their range, and ``_i``, their place in it. The table is stored: both
+    passes over it see the same ranges, even if an executor is lost in between."""
+    d = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    return saved(d.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit(_LOCAL))).drop("_m"))
+
+
+def _offsets(sizes: DataFrame, *by: str) -> DataFrame:
+    """(by.., _p, _o): sum of ``_n`` of the ranges before; a row for each range and key."""
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+
+
 def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     """``df`` with its 0-based place in the order of columns that identify a row.
 
-    Rows are range-partitioned and numbered inside each partition; the partitions' sizes, one row each, give the
-    offsets. The partitioned table is persisted, as both steps must see the same ranges.
+    Rows are range-partitioned and numbered inside each partition; the partitions' sizes, one row each, give the offsets.
     """
-    sorted_ = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("_m", 33)
-    sizes = sorted_.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return sorted_.join(F.broadcast(offsets), part == F.col("_p")).withColumn(name, F.col("_o") + F.col("_m").bitwiseAND(F.lit(_LOCAL))).drop("_m", "_p", "_o")
+    d = _ranged(df, order)
+    offsets = _offsets(d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")))
+    return d.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+
+
+def rank_in_groups(df: DataFrame, group: str, *order: str, name: str = "rank") -> DataFrame:
+    """``df`` with its 0-based place inside its group; a group of any size is spread over ranges."""
+    ranked = global_rank(df, group, *order, name="_g")
+    start = ranked.groupBy(group).agg(F.min("_g").alias("_s"))
+    return ranked.join(start, group).withColumn(name, F.col("_g") - F.col("_s")).drop("_g", "_s")
+
+
+def running_sum(df: DataFrame, value: str, *order: str, name: str = "before") -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before it in the order of columns that identify a row."""
+    d = _ranged(df, order)
+    offsets = _offsets(d.groupBy("_p").agg(F.sum(value).alias("_n")))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.withColumn("_w", inside).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_w")).drop("_p", "_i", "_o", "_w")

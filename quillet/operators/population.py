@@ -9,46 +9,81 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillet.functions.nulls import is_none_value
+from quillet.functions.shared import small_side
 
 TABLE_TARGET = "__table__"
+MISSING = "None"
 OVERLONG = 100
+ATTEMPTS = 11
+SCHEMA_ROWS = 100_000
+#: An object with at most one level of objects inside, in runs that never give back a character.
+OBJECT = r"\{(?>[^{}]++|\{[^{}]*+\})*+\}"
+#: The same between fences.
+FENCED_OBJECT = r"```\s*+(\{(?>[^`}]++|\}(?!\s*+```)|`)*+\})\s*+```"
 
 
 def _parsed(text: Column) -> Column:
-    """A JSON object, or the literal of a Python dict, as a map; null if it is neither or empty."""
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?<=[:\[,]\s?)None(?=\s*[,}\]])", "null"), r"(?<=[:\[,]\s?)True(?=\s*[,}\]])", "true"), r"(?<=[:\[,]\s?)False(?=\s*[,}\]])", "false")
-    m = F.from_json(clean, T.MapType(T.StringType(), T.StringType()))
-    return F.when(F.size(m) > 0, m)
+    """A JSON object, or the literal of a Python dict, as a map; null if it is neither or empty. It is parsed once."""
+    words = F.contains(text, F.lit("None")) | F.contains(text, F.lit("True")) | F.contains(text, F.lit("False"))
+    plain = text
+    for python, json in (("None", "null"), ("True", "true"), ("False", "false")):
+        plain = F.regexp_replace(plain, rf"(?<=[:\[,]\s?){python}(?=\s*[,}}\]])", json)
+    m = F.from_json(F.when(words, plain).otherwise(text), T.MapType(T.StringType(), T.StringType()))
+    return F.get(F.filter(F.array(m), lambda x: F.size(x) > 0), F.lit(0))
+
+
+def _between(raw: Column, mark: str, end: str) -> Column:
+    """Text after the first ``mark`` (any case) up to the next ``end``; null without them. Positions, so that any length will do."""
+    at = F.regexp_instr(raw, F.lit(f"(?i){mark}"))
+    rest = F.substr(raw, at + len(mark))
+    stop = F.locate(end, rest)
+    return F.when((at > 0) & (stop > 0), F.substr(rest, F.lit(1), stop - 1))
 
 
 def extract_json(raw: Column) -> Column:
     """First non-empty object of a raw response: a fenced JSON block, a fenced object, any object in the text with at
-    most one level of objects inside, the whole text."""
-    fenced = F.regexp_extract(raw, r"(?is)```json\s*(.*?)\s*```", 1)
-    block = F.regexp_extract(raw, r"(?s)```\s*(\{.*?\})\s*```", 1)
-    every = F.regexp_extract_all(raw, F.lit(r"(\{(?:[^{}]|\{[^{}]*\})*\})"))
-    inner = F.filter(F.transform(every, _parsed), lambda m: m.isNotNull())
-    return F.coalesce(_parsed(fenced), _parsed(block), F.get(inner, F.lit(0)), _parsed(raw))
+    most one level of objects inside, the whole text. Later forms are looked at only where earlier ones give nothing."""
+    fenced = F.trim(_between(raw, "```json", "```"))
+    block = F.regexp_extract(raw, FENCED_OBJECT, 1)
+    objects = F.regexp_extract_all(raw, F.lit(OBJECT), F.lit(0))
+    none = F.lit(None).cast("map<string,string>")
+    inner = F.aggregate(objects, none, lambda found, text: F.coalesce(found, _parsed(text)))
+    return F.coalesce(_parsed(fenced), _parsed(F.when(F.contains(raw, F.lit("```")), block)), inner, _parsed(raw))
+
+
+def parsed_responses(responses: DataFrame) -> DataFrame:
+    """Responses with ``obj``, their object, instead of the raw text. The generator keeps later filters from copying the
+    extraction into themselves, so it runs once for each response."""
+    return responses.select(*[c for c in responses.columns if c != "raw_text"], F.explode(F.array(extract_json(F.col("raw_text")))).alias("obj"))
+
 
+def _value(obj: Column, key: Column | str) -> Column:
+    """A value as it is stored: missing ones, of any spelling, are 'None'."""
+    v = F.element_at(obj, key)
+    return F.when(is_none_value(v), F.lit(MISSING)).otherwise(v)
 
-def resolve_tables(responses: DataFrame, tables: Iterable[str], key: str = "res", max_attempts: int = 11) -> DataFrame:
+
+def _names_table(tables: Iterable[str], key: str) -> Column:
+    v = F.element_at("obj", key)
+    return (F.col("target") == TABLE_TARGET) & F.map_contains_key("obj", key) & (v.isin(*tables) | is_none_value(v))
+
+
+def resolve_tables(responses: DataFrame, tables: Iterable[str], key: str = "res", max_attempts: int = ATTEMPTS) -> DataFrame:
     """(doc_id, query_id, res): the first attempt that names a known table or none; documents without one are left out."""
-    value = F.element_at("obj", key)
-    r = responses.where((F.col("target") == TABLE_TARGET) & (F.col("attempt") < max_attempts)).withColumn("obj", extract_json(F.col("raw_text")))
-    valid = r.where(F.map_contains_key("obj", key)).withColumn("value", value).where(F.col("value").isin(*tables) | is_none_value(F.col("value")))
-    picked = valid.groupBy("doc_id", "query_id").agg(F.min(F.struct("attempt", "value"))["value"].alias("value"))
-    return picked.select("doc_id", "query_id", F.when(is_none_value(F.col("value")), F.lit(None)).otherwise(F.col("value")).alias("res"))
+    r = parsed_responses(responses.where((F.col("target") == TABLE_TARGET) & (F.col("attempt") < max_attempts))).where(_names_table(tables, key))
+    picked = r.groupBy("doc_id", "query_id").agg(F.min_by(_value(F.col("obj"), key), "attempt").alias("value"))
+    return picked.select("doc_id", "query_id", F.when(F.col("value") != MISSING, F.col("value")).alias("res"))
 
 
-def resolve_attributes(responses: DataFrame, assigned: DataFrame, schema: DataFrame) -> DataFrame:
+def resolve_attributes(responses: DataFrame, assigned: DataFrame, schema: DataFrame, max_attempts: int = ATTEMPTS) -> DataFrame:
     """(doc_id, query_id, res, attr, value) for the attributes of each document's table; ``schema``: (query_id, table_name, attr).
 
-    The first attempt that has the attribute counts; where none has it, the value is 'None'.
+    The first attempt that has the attribute counts; where none of them has it, or its value is a missing one, it is 'None'.
     """
     wanted = assigned.join(schema, (assigned["query_id"] == schema["query_id"]) & (assigned["res"] == schema["table_name"])).select(assigned["doc_id"], assigned["query_id"], "res", "attr")
-    r = responses.where(F.col("target") != TABLE_TARGET).withColumn("obj", extract_json(F.col("raw_text")))
-    found = r.where(F.map_contains_key("obj", F.col("target"))).groupBy("doc_id", "query_id", F.col("target").alias("attr")).agg(F.min(F.struct("attempt", F.element_at("obj", F.col("target")).alias("value")))["value"].alias("value"))
-    return wanted.join(found, ["doc_id", "query_id", "attr"], "left").select("doc_id", "query_id", "res", "attr", F.coalesce("value", F.lit("None")).alias("value"))
+    r = parsed_responses(responses.where((F.col("target") != TABLE_TARGET) & (F.col("attempt") < max_attempts))).where(F.map_contains_key("obj", F.col("target")))
+    found = r.groupBy("doc_id", "query_id", F.col("target").alias("attr")).agg(F.min_by(_value(F.col("obj"), F.col("target")), "attempt").alias("value"))
+    return wanted.join(found, ["doc_id", "query_id", "attr"], "left").select("doc_id", "query_id", "res", "attr", F.coalesce("value", F.lit(MISSING)).alias("value"))
 
 
 def assemble_rows(assigned: DataFrame, values: DataFrame) -> DataFrame:
@@ -57,10 +92,28 @@ def assemble_rows(assigned: DataFrame, values: DataFrame) -> DataFrame:
     return assigned.join(data, ["doc_id", "query_id"], "left").select("doc_id", "query_id", "res", F.coalesce("data", F.create_map().cast("map<string,string>")).alias("data"), F.coalesce("overlong", F.lit(False)).alias("overlong"))
 
 
+def populate(responses: DataFrame, tables: Iterable[str], schema: DataFrame, key: str = "res", max_attempts: int = ATTEMPTS) -> DataFrame:
+    """``assemble_rows`` over ``resolve_tables`` and ``resolve_attributes`` in one pass: each response is read and parsed
+    once, and one shuffle brings a document's responses together. ``schema`` has a row for each attribute of a table of a query."""
+    r = parsed_responses(responses.where(F.col("attempt") < max_attempts))
+    is_table = F.col("target") == TABLE_TARGET
+    valid, has = _names_table(tables, key), ~is_table & F.map_contains_key("obj", F.col("target"))
+    r = r.where(valid | has).select("doc_id", "query_id", "attempt", "target", F.when(is_table, _value(F.col("obj"), key)).otherwise(_value(F.col("obj"), F.col("target"))).alias("value"))
+    table = F.min_by(F.when(is_table, F.col("value")), F.when(is_table, F.col("attempt")))
+    found = F.sort_array(F.collect_list(F.when(~is_table, F.struct("target", "attempt", "value"))))
+    d = r.groupBy("doc_id", "query_id").agg(table.alias("value"), found.alias("found"), F.max(is_table).alias("assigned")).where("assigned")
+    d = d.select("doc_id", "query_id", F.when(F.col("value") != MISSING, F.col("value")).alias("res"), "found")
+    wanted = schema.groupBy(F.col("query_id").alias("_q"), F.col("table_name").alias("_t")).agg(F.sort_array(F.collect_set("attr")).alias("attrs"))
+    d = d.join(small_side(wanted, SCHEMA_ROWS), (F.col("query_id") == F.col("_q")) & (F.col("res") == F.col("_t")), "left")
+    first = lambda a: F.coalesce(F.get(F.filter("found", lambda x: x["target"] == a), F.lit(0))["value"], F.lit(MISSING))
+    pairs = F.coalesce(F.transform("attrs", lambda a: F.struct(a.alias("attr"), first(a).alias("value"))), F.array().cast("array<struct<attr:string,value:string>>"))
+    return d.select("doc_id", "query_id", "res", F.map_from_entries(pairs).alias("data"), F.exists(pairs, lambda p: F.length(p["value"]) > OVERLONG).alias("overlong"))
+
+
 def to_table(population: DataFrame, name: str, types: dict[str, str]) -> DataFrame:
     """The typed relation of one table; missing and uncastable values are null."""
-    value = lambda a: F.element_at("data", a)
-    return population.where(F.col("res") == name).select(*[F.when(~is_none_value(value(a)), value(a)).try_cast(t).alias(a) for a, t in types.items()])
+    rows = population.where(F.col("res") == name).select(*[F.col("data")[a].alias(a) for a in types])
+    return rows.select(*[F.when(~is_none_value(F.col(a)), F.col(a)).try_cast(t).alias(a) for a, t in types.items()])
 
 
 def extract_with(docs: DataFrame, fn: Callable, schema: str, partitions: int | None = None) -> DataFrame:

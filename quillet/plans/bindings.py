@@ -58,7 +58,7 @@ def order_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     res = F.when(k % 29 == 0, "invoices").otherwise("orders")
     status = F.when(k % 17 == 0, "X").otherwise(F.col("s"))
-    priority = F.when(k % 23 == 0, "N/A").otherwise(F.col("p"))
+    priority = F.when(k % 23 == 0, "N/A").when(k % 53 == 0, F.repeat("p", F.lit(25))).otherwise(F.col("p"))
     targets = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(a).alias("key"), v.alias("value")) for t, a, v in (("__table__", "res", res), ("status", "status", status), ("priority", "priority", priority))]))
     r = o.select("k", targets.alias("t")).select("k", "t.*").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(1))))
     body = F.concat(F.lit('{"'), F.col("key"), F.lit('": "'), F.col("value"), F.lit('"}'))

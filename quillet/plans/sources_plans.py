@@ -192,10 +192,10 @@ def b09_calibrate(spark, sf):
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, target, attempt,
  CASE WHEN attempt = 0 AND o_orderkey % 4 = 2 THEN NULL WHEN target = '__table__' THEN CASE WHEN o_orderkey % 29 = 0 THEN 'invoices' ELSE 'orders' END
- WHEN target = 'status' THEN CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE o_orderstatus END ELSE CASE WHEN o_orderkey % 23 = 0 THEN 'N/A' ELSE o_orderpriority END END AS value
+ WHEN target = 'status' THEN CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE o_orderstatus END ELSE CASE WHEN o_orderkey % 23 = 0 THEN 'N/A' WHEN o_orderkey % 53 = 0 THEN repeat(o_orderpriority, 25) ELSE o_orderpriority END END AS value
 FROM orders, (VALUES ('__table__'), ('status'), ('priority')) t(target), (VALUES (0), (1)) a(attempt)""")
 def e01_extract_json(spark, sf):
-    r = order_responses(spark, sf).withColumn("obj", P.extract_json(F.col("raw_text")))
+    r = P.parsed_responses(order_responses(spark, sf))
     key = F.when(F.col("target") == "__table__", "res").otherwise(F.col("target"))
     return r.select("doc_id", "target", "attempt", F.element_at("obj", key).alias("value"))
 
@@ -211,6 +211,7 @@ def _schema(spark, sf):
 _RES = "CASE WHEN o_orderkey % 29 = 0 THEN 'invoices' ELSE 'orders' END"
 _STATUS = "CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE o_orderstatus END"
 _PRIORITY = "CASE WHEN o_orderkey % 23 = 0 THEN 'N/A' ELSE o_orderpriority END"
+_STORED = "CASE WHEN o_orderkey % 23 = 0 THEN 'None' WHEN o_orderkey % 53 = 0 THEN repeat(o_orderpriority, 25) ELSE o_orderpriority END"
 
 
 @query(f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'Q1' AS query_id, {_RES} AS res FROM orders")
@@ -218,7 +219,7 @@ def e02_resolve_tables(spark, sf):
     return _assigned(spark, sf)
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, attr, CASE attr WHEN 'status' THEN {_STATUS} WHEN 'priority' THEN {_PRIORITY} ELSE 'None' END AS value FROM orders, (VALUES ('status'), ('priority'), ('clerk')) t(attr) WHERE o_orderkey % 29 <> 0")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, attr, CASE attr WHEN 'status' THEN {_STATUS} WHEN 'priority' THEN {_STORED} ELSE 'None' END AS value FROM orders, (VALUES ('status'), ('priority'), ('clerk')) t(attr) WHERE o_orderkey % 29 <> 0")
 def e03_resolve_attributes(spark, sf):
     return P.resolve_attributes(order_responses(spark, sf), _assigned(spark, sf), _schema(spark, sf)).select("doc_id", "attr", "value")
 
@@ -231,15 +232,16 @@ def e04_null_vocabularies(spark, sf):
     return d.select("o_orderkey", "v", is_none_value(F.col("v")).alias("none_value"), is_null(F.col("v")).alias("null_value"))
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, {_RES} AS res, CASE WHEN o_orderkey % 29 = 0 THEN 0 ELSE 3 END AS n, CASE WHEN o_orderkey % 29 <> 0 THEN {_PRIORITY} END AS priority, false AS overlong FROM orders")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, {_RES} AS res, CASE WHEN o_orderkey % 29 = 0 THEN 0 ELSE 3 END AS n, CASE WHEN o_orderkey % 29 <> 0 THEN {_STORED} END AS priority, o_orderkey % 29 <> 0 AND length({_STORED}) > 100 AS overlong FROM orders")
 def e05_assemble_rows(spark, sf):
-    a, r = _assigned(spark, sf), order_responses(spark, sf)
-    return P.assemble_rows(a, P.resolve_attributes(r, a, _schema(spark, sf))).select("doc_id", "res", F.size("data").alias("n"), F.element_at("data", "priority").alias("priority"), "overlong")
+    d = P.populate(order_responses(spark, sf), ["orders", "invoices"], _schema(spark, sf))
+    return d.select("doc_id", "res", F.size("data").alias("n"), F.element_at("data", "priority").alias("priority"), "overlong")
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders")
 def e06_to_table(spark, sf):
-    return P.to_table(population_of(spark, sf, "orders"), "orders", TYPES["orders"]).drop("o_orderdate")
+    t = P.to_table(population_of(spark, sf, "orders"), "orders", TYPES["orders"])
+    return t.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderstatus AS status, o_orderpriority AS priority FROM orders")
@@ -256,7 +258,7 @@ def e09_single_shot(spark, sf):
     return P.single_shot(raw).select("doc_id", F.size("data").alias("n"), F.element_at("data", "status").alias("status"))
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id FROM orders WHERE o_orderkey % 29 <> 0 AND {_PRIORITY} = 'N/A'")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id FROM orders WHERE o_orderkey % 29 <> 0 AND {_STORED} = 'None'")
 def q19_missing_values(spark, sf):
     rows = e05_assemble_rows(spark, sf).where("res = 'orders'")
     return rows.where(is_null(F.col("priority"))).select("doc_id")
