@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +11,11 @@ from quillet.functions.shared import saved
 _LOCAL = (1 << 33) - 1
 
 
+def seeded(key: Column, seed: int) -> Column:
+    """A reproducible random order: md5 of seed and key, which every engine computes alike."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+
+
 def _ranged(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Rows in ranges of the order with ``_p``, their range, and ``_i``, their place in it. The table is stored: both
     passes over it see the same ranges, even if an executor is lost in between."""

@@ -16,11 +16,13 @@ STRENGTH = 3.0
 
 
 def parse_selectivity(text: Column) -> Column:
-    """Share from free text: a JSON number, else the first number (over 1: percent), else high, medium or low; within 0 and 1."""
-    obj = F.from_json(text, "struct<selectivity:double,value:double>")
+    """Share from free text: an object's ``selectivity`` or ``value`` (one half without them), else the first number (over 1:
+    percent), else the words high, low or medium, looked for in this order; within 0 and 1."""
+    obj = F.from_json(text, "map<string,string>")
+    named = F.coalesce(obj["selectivity"], obj["value"], F.lit("0.5")).try_cast("double")
     number = F.regexp_extract(text, r"(\d+\.?\d*)", 1).try_cast("double")
-    word = F.when(F.lower(text).contains("high"), 0.8).when(F.lower(text).contains("medium"), 0.5).when(F.lower(text).contains("low"), 0.2)
-    s = F.coalesce(obj["selectivity"], obj["value"], F.when(number > 1, number / 100).otherwise(number), word, F.lit(0.5))
+    word = F.when(F.lower(text).contains("high"), 0.8).when(F.lower(text).contains("low"), 0.2).when(F.lower(text).contains("medium"), 0.5)
+    s = F.coalesce(F.when(obj.isNotNull(), named), F.when(number > 1, number / 100).otherwise(number), word, F.lit(0.5))
     return F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))
 
 

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillet.functions.shared import small_side
 from quillet.functions.vectors import cosine
 
+MAX_QUERIES = 10_000
+
 
 def chunk_array(text: Column, size: int = 500, overlap: int = 50) -> Column:
     if overlap >= size:
@@ -41,23 +44,30 @@ def embed(df: DataFrame, text_col: str, fn: Callable | None = None, schema: str
     return v.withColumn("embedding", vector_to_array("_unit")).drop("_words", "_tf", "_unit")
 
 
-def filter_chunks(chunks: DataFrame, query: DataFrame, threshold: float) -> DataFrame:
-    """Chunks with ``sim`` and ``kept``: a document's only chunk stays untested, a chunk without a vector stays.
-    ``query``: one row with ``query_vec``."""
+def feature_list(schema: DataFrame, *keys: str, order: str, name: str) -> DataFrame:
+    """(keys.., features): names of a schema's entries in their order, the features that a query asks for."""
+    entries = F.sort_array(F.collect_list(F.struct(order, name)))
+    return schema.groupBy(*keys).agg(F.array_join(F.transform(entries, lambda x: x[name]), ",").alias("features"))
+
+
+def filter_chunks(chunks: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """Chunks with ``sim`` and ``kept`` for each query: a document's only chunk stays untested, a chunk without a vector stays.
+    ``queries``: ``query_vec`` and any keys, a row a query. Each chunk is compared with each query (a stated set), which
+    is broadcast up to ``MAX_QUERIES`` rows."""
     n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    scored = chunks.withColumn("n_chunks", n).crossJoin(F.broadcast(query.limit(1)))
+    scored = chunks.withColumn("n_chunks", n).crossJoin(small_side(queries, MAX_QUERIES))
     s = scored.withColumn("sim", cosine(F.col("embedding"), F.col("query_vec"))).drop("query_vec")
     return s.withColumn("kept", (F.col("n_chunks") == 1) | F.col("embedding").isNull() | F.coalesce(F.col("sim") >= threshold, F.lit(True)))
 
 
-def filter_statistics(filtered: DataFrame) -> DataFrame:
-    return filtered.groupBy("doc_id").agg(F.count(F.lit(1)).alias("num_chunks"), F.count_if("kept").alias("num_kept"), F.count_if(~F.col("kept")).alias("num_dropped"), F.min("sim").alias("min_sim"), F.max("sim").alias("max_sim"), F.avg("sim").alias("avg_sim"))
+def filter_statistics(filtered: DataFrame, *keys: str) -> DataFrame:
+    return filtered.groupBy(*keys, "doc_id").agg(F.count(F.lit(1)).alias("num_chunks"), F.count_if("kept").alias("num_kept"), F.count_if(~F.col("kept")).alias("num_dropped"), F.min("sim").alias("min_sim"), F.max("sim").alias("max_sim"), F.avg("sim").alias("avg_sim"))
 
 
-def reassemble(filtered: DataFrame) -> DataFrame:
-    """(doc_id, doc_text): kept chunks in order, joined by an empty line; no kept chunk gives an empty text."""
+def reassemble(filtered: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., doc_id, doc_text): kept chunks in order, joined by an empty line; no kept chunk gives an empty text."""
     kept = F.collect_list(F.when(F.col("kept"), F.struct("chunk_index", "chunk")))
-    return filtered.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(kept), lambda x: x["chunk"]), "\n\n").alias("doc_text"))
+    return filtered.groupBy(*keys, "doc_id").agg(F.array_join(F.transform(F.sort_array(kept), lambda x: x["chunk"]), "\n\n").alias("doc_text"))
 
 
 def calibrate_threshold(pairs: DataFrame, recall: float = 0.95, default: float = 0.5) -> DataFrame:

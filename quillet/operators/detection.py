@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillet.functions.ranks import global_rank
+from quillet.functions.ranks import global_rank, rank_in_groups, running_sum, seeded
+from quillet.functions.shared import saved
 from quillet.operators.evaluation import ratio
 
 THRESHOLDS = (0.00001, 0.00005, 0.0001, 0.0005, 0.001, 0.005, 0.01, 0.02, 0.03, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.97, 0.99, 0.995, 0.999)  # fixed values
+CELLS = 50
 
 
 def labelled_samples(doc_stats: DataFrame) -> DataFrame:
@@ -24,14 +26,20 @@ def labelled_samples(doc_stats: DataFrame) -> DataFrame:
 
 
 def oversample(samples: DataFrame, label: str = "y", order: str = "doc_id") -> DataFrame:
-    """Every class as often as the largest: each row max // n times, the first max % n rows once more."""
+    """Every class as often as the largest: each row max // n times, the first max % n rows once more. ``order`` identifies a row."""
     counts = samples.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    most = counts.agg(F.max("n").alias("most"))
-    d = samples.join(F.broadcast(counts), label).crossJoin(F.broadcast(most)).withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-    copies = F.floor(F.col("most") / F.col("n")) + F.when(F.col("r") <= F.col("most") % F.col("n"), 1).otherwise(0)
+    counts = saved(counts.crossJoin(counts.agg(F.max("n").alias("most"))))
+    d = rank_in_groups(samples, label, order, name="r").join(F.broadcast(counts), label)
+    copies = F.floor(F.col("most") / F.col("n")) + F.when(F.col("r") < F.col("most") % F.col("n"), 1).otherwise(0)
     return d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop("n", "most", "r")
 
 
+def train_sample(samples: DataFrame, n: int, order: str = "doc_id", seed: int = 0) -> DataFrame:
+    """The samples of ``n`` documents, drawn by the md5 of seed and id."""
+    few = samples.select(order).distinct().orderBy(seeded(F.col(order), seed), order).limit(n)
+    return samples.join(few, order, "left_semi")
+
+
 def ordered_split(samples: DataFrame, share: float, order: str = "doc_id") -> DataFrame:
     """``is_train`` for the first share of the documents in order (by percent rank)."""
     docs = global_rank(samples.select(order).distinct(), order, name="_rank")
@@ -53,14 +61,39 @@ def score_samples(model, samples: DataFrame, features: str = "features") -> Data
     return model.transform(d).withColumn("prob", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
 
 
+def best_classifier(train: DataFrame, valid: DataFrame, features: str = "features", label: str = "y", candidates: tuple[tuple[int, int], ...] = ((128, 1), (128, 2), (0, 1))):
+    """(model, accuracy): the candidate (hidden units, seed) with the best accuracy on the validation rows, the first of equals."""
+    best = None
+    for hidden, seed in candidates:
+        model = train_classifier(train, features, label, hidden, seed)
+        right = F.avg(F.when((F.col("prob") >= 0.5) == (F.col(label) == 1), 1.0).otherwise(0.0))
+        accuracy = score_samples(model, valid, features).agg(right.alias("a")).first()["a"]
+        if best is None or (accuracy or 0.0) > best[1]:
+            best = (model, accuracy or 0.0)
+    return best
+
+
 def document_scores(outputs: DataFrame) -> DataFrame:
     return outputs.groupBy("doc_id", "layer").agg(F.max("prob").alias("score"))
 
 
 def assign_ensembles(outputs: DataFrame, size: int = 3, seed: int = 0) -> DataFrame:
-    """Layers dealt to disjoint ensembles of ``size`` in a hashed order: (layer, ens)."""
+    """Layers dealt to disjoint ensembles of ``size`` in a seeded random order: (layer, ens). A model has a few dozen layers."""
     layers = outputs.select("layer").distinct()
-    return layers.withColumn("ens", F.floor((F.row_number().over(Window.orderBy(F.xxhash64("layer", F.lit(seed)), "layer")) - 1) / size).cast("int"))
+    return layers.withColumn("ens", F.floor((F.row_number().over(Window.orderBy(seeded(F.col("layer"), seed), "layer")) - 1) / size).cast("int"))
+
+
+def prefix_votes(scores: DataFrame, ensembles: int, threshold: float = 0.5) -> DataFrame:
+    """(prefix, doc_id, y, pred): ``vote`` by halves over the first 1, 2, .. ``ensembles`` ensembles of (doc_id, y, ens, score)."""
+    one = scores.where(F.col("ens") < ensembles).groupBy("doc_id", "y", "ens").agg(F.when(F.avg("score") >= threshold, 1).otherwise(0).alias("v"))
+    wide = one.withColumn("prefix", F.explode(F.sequence(F.col("ens") + 1, F.lit(ensembles))))
+    return wide.groupBy("prefix", "doc_id", "y").agg(F.when(F.sum("v") * 2 >= F.count(F.lit(1)), 1).otherwise(0).alias("pred"))
+
+
+def size_grid(scores: DataFrame, *keys: str, threshold: float = 0.5) -> DataFrame:
+    """Metrics and AUC of (keys.., y, score), one row for each key, such as layer and training size."""
+    m = detection_metrics(scores.withColumn("pred", (F.col("score") >= threshold).cast("int")), *keys)
+    return m.join(roc_auc(scores, *keys), list(keys))
 
 
 def vote(scores: DataFrame, mode: str = "half", threshold: float = 0.5) -> DataFrame:
@@ -87,12 +120,13 @@ def detection_metrics(preds: DataFrame, *keys: str) -> DataFrame:
 def roc_auc(scored: DataFrame, *keys: str, score: str = "score") -> DataFrame:
     """Area under the curve as the Mann-Whitney statistic, ties counted half.
 
-    Distinct scores are counted first, so that the running sum is over score values and not over documents."""
+    Distinct scores are counted first; the running sum over them goes through ranges of all keys' scores, so that neither
+    a key nor the whole table is one task."""
     by = scored.groupBy(*keys, score).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n").over(w), F.lit(0))
-    d = by.withColumn("u", F.col("p") * (below + F.col("n") / 2))
-    return d.groupBy(*keys).agg(F.when((F.sum("p") > 0) & (F.sum("n") > 0), F.sum("u") / (F.sum("p") * F.sum("n"))).alias("auc"))
+    d = running_sum(by, "n", *keys, score, name="below")
+    first = F.min("below") if keys else F.lit(0)
+    sums = d.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), first.alias("base"))
+    return sums.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), (F.col("u") - F.col("base") * F.col("p")) / (F.col("p") * F.col("n"))).alias("auc"))
 
 
 def voting_error(votes: DataFrame) -> DataFrame:
@@ -144,26 +178,27 @@ def marginal_voting(outputs: DataFrame, labels: DataFrame, thresholds: tuple[flo
     return levels, cost.select("threshold", "abstain", ratio(F.col("fp"), F.col("neg")).alias("extra_cost_rate"), (1 - F.col("fn") / F.col("n")).alias("accuracy"))
 
 
-def conformal_sets(scores: DataFrame, split: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
-    """(alpha, doc_id, labels): multi-dimensional conformal label sets.
+def conformal_sets(scores: DataFrame, split: DataFrame, alphas: tuple[float, ...], cells: int = CELLS) -> DataFrame:
+    """(alpha, doc_id, y, labels): multi-dimensional conformal label sets.
 
-    ``scores``: (doc_id, p array, one value a layer). ``split``: (doc_id, part, y) with parts cell, recal, test. The score
-    of a label is 1 - p for 1 and p for 0. Cells are the cell documents' own scores; each recalibration and test score
-    belongs to the nearest cell (the lowest id of equals). Cells are taken by their share of false scores until the
-    covered true scores reach (1 - alpha) (n + 1); a label is in the set if its cell is taken; an empty set is {0}.
-    The cells are a fixed small number, so they are broadcast and each score looks at all of them.
+    ``scores``: (doc_id, p array, one value a layer or head). ``split``: (doc_id, part, y) with parts cell, recal, test. The
+    score of a label is 1 - p for 1 and p for 0. Cells are the own scores of the first ``cells`` cell documents in order (as
+    many if there are fewer), a bounded table; each recalibration and test score belongs to the nearest cell (the lowest id
+    of equals). Cells are taken by their share of false scores until the covered true scores reach (1 - alpha) (n + 1); a
+    label is in the set if its cell is taken; an empty set is {0}.
     """
     d = scores.join(split, "doc_id")
     score = lambda label: F.transform("p", lambda x: (F.lit(1.0) - x) if label else x)
-    both = d.withColumn("label", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("s", F.when(F.col("label") == 1, score(1)).otherwise(score(0)))
-    cells = F.broadcast(both.where("part = 'cell' and label = y").select(F.col("doc_id").alias("cell"), F.col("s").alias("c")))
-    dist = F.aggregate(F.zip_with("s", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
-    placed = both.where("part <> 'cell'").crossJoin(cells).groupBy("part", "doc_id", "label", "y").agg(F.min(F.struct(dist.alias("d"), "cell"))["cell"].alias("cell"))
-    recal = placed.where("part = 'recal'")
-    per = recal.groupBy("cell").agg(F.count_if(F.col("label") == F.col("y")).alias("t"), F.count_if(F.col("label") != F.col("y")).alias("f"))
-    per = cells.select("cell").join(per, "cell", "left").select("cell", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("f", F.lit(0)).alias("f"))
+    centres = saved(d.where("part = 'cell'").orderBy("doc_id").limit(cells).select(F.col("doc_id").alias("cell"), F.when(F.col("y") == 1, score(1)).otherwise(score(0)).alias("c")))
+    one = centres.agg(F.sort_array(F.collect_list(F.struct("cell", "c"))).alias("cells"))
+    dist = lambda s, c: F.aggregate(F.zip_with(s, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+    both = d.where("part <> 'cell'").crossJoin(F.broadcast(one)).withColumn("l", F.explode(F.array(F.struct(F.lit(0).alias("label"), score(0).alias("s")), F.struct(F.lit(1).alias("label"), score(1).alias("s")))))
+    near = F.array_min(F.transform("cells", lambda c: F.struct(dist(F.col("l.s"), c["c"]).alias("d"), c["cell"].alias("cell"))))["cell"]
+    placed = saved(both.select("part", "doc_id", "y", F.col("l.label").alias("label"), near.alias("cell")))
+    per = placed.where("part = 'recal'").groupBy("cell").agg(F.count_if(F.col("label") == F.col("y")).alias("t"), F.count_if(F.col("label") != F.col("y")).alias("f"))
+    per = centres.select("cell").join(per, "cell", "left").select("cell", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("f", F.lit(0)).alias("f"))
     ranked = per.withColumn("dens", F.when(F.col("t") > 0, (F.col("f") + F.col("t")) / F.col("t")).otherwise(F.lit(float("inf"))))
-    before = F.coalesce(F.sum("t").over(Window.orderBy("dens", "cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("t").over(Window.orderBy("dens", "cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over ``cells`` rows
     n = split.where("part = 'recal'").agg(F.count(F.lit(1)).alias("n"))
     grid = ranked.withColumn("before", before).crossJoin(F.broadcast(n)).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
     taken = grid.where(F.col("before") < F.ceil((1 - F.col("alpha")) * (F.col("n") + 1))).select("alpha", F.col("cell").alias("taken"))
@@ -173,8 +208,17 @@ def conformal_sets(scores: DataFrame, split: DataFrame, alphas: tuple[float, ...
     return sets.withColumn("labels", F.when(F.size("labels") == 0, F.array(F.lit(0))).otherwise(F.col("labels")))
 
 
-def conformal_metrics(sets: DataFrame) -> DataFrame:
-    return sets.groupBy("alpha").agg(F.avg(F.when(F.array_contains("labels", F.col("y")), 1.0).otherwise(0.0)).alias("coverage"), F.avg(F.when(F.size("labels") > 1, 1.0).otherwise(0.0)).alias("abstain_share"), F.avg(F.size("labels").cast("double")).alias("avg_size"))
+def conformal_metrics(sets: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., alpha, ..): coverage, share of sets with several labels, average size, and ``detection_metrics`` of "1 is in the
+    set". ``keys`` may be a layer or head that ``sets`` carries."""
+    by = [*keys, "alpha"]
+    own = sets.groupBy(*by).agg(F.avg(F.when(F.array_contains("labels", F.col("y")), 1.0).otherwise(0.0)).alias("coverage"), F.avg(F.when(F.size("labels") > 1, 1.0).otherwise(0.0)).alias("abstain_share"), F.avg(F.size("labels").cast("double")).alias("avg_size"))
+    return own.join(detection_metrics(sets.withColumn("pred", F.array_contains("labels", F.lit(1)).cast("int")), *by), by)
+
+
+def missed_documents(sets: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., alpha, doc_id): wrong rows whose set lacks 1, one a row."""
+    return sets.where((F.col("y") == 1) & ~F.array_contains("labels", F.lit(1))).select(*keys, "alpha", "doc_id")
 
 
 def trial_summary(trials: DataFrame, *keys: str) -> DataFrame:
@@ -190,14 +234,15 @@ def pool_tokens(tokens: DataFrame, *keys: str) -> DataFrame:
 
 
 def align_span(tokens: Column, value: Column) -> Column:
-    """struct(start, n): first run of tokens whose joined text equals the value, without quotes and spaces; null if none.
-    A start grows until its text is longer than the value."""
-    clean = lambda c: F.regexp_replace(c, "[\"'\\s]", "")
-    texts, want = F.transform(tokens, lambda t: clean(F.coalesce(t, F.lit("")))), clean(value)
+    """struct(start, n): first run of tokens whose joined text equals the value; null if none. Quotes and white space at the
+    ends of both don't count, nor do double quotes inside. A start grows until its text is longer than the value."""
+    clean = lambda c: F.regexp_replace(F.regexp_replace(c, "^[\"'\n\t ]+|[\"'\n\t ]+$", ""), r'\\?"', "")
+    want, texts = clean(value), F.transform(tokens, lambda t: F.coalesce(t, F.lit("")))
 
     def grown(s, t):
         acc, k = F.concat(s["acc"], t), s["k"] + 1
-        state = F.struct(acc.alias("acc"), k.alias("k"), F.when(acc == want, k).when(F.length(acc) > F.length(want), -1).otherwise(0).alias("n"))
+        own = clean(acc)
+        state = F.struct(acc.alias("acc"), k.alias("k"), F.when(own == want, k).when(F.length(own) > F.length(want), -1).otherwise(0).alias("n"))
         return F.when(s["n"] != 0, s).otherwise(state)
 
     none = F.struct(F.lit("").alias("acc"), F.lit(0).alias("k"), F.lit(0).alias("n"))

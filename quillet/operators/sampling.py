@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillet.functions.ranks import global_rank, seeded
+from quillet.functions.shared import saved
 from quillet.functions.vectors import cosine, euclidean
 
 
-
 def _by_seq():
     return Window.partitionBy("run_id").orderBy("seq")
 
@@ -104,16 +105,15 @@ def select_maxmin(vectors: DataFrame, chosen: list, k: int, metric: str = "eucli
     start = vectors.where(F.col(id_col).isin(chosen)).select(vec_col).collect()  # the chosen few
     d = vectors.where(~F.col(id_col).isin(chosen)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     d = d.withColumn("min_dist", F.least(*[dist(F.col("v"), lit(r[0])) for r in start], F.lit(float("inf"))) if start else F.lit(float("inf")))
-    d = d.persist()
+    d = saved(d)
     picks = []
     for i in range(k):
         best = d.agg(F.max_by(F.struct("id", "v", "min_dist"), F.struct("min_dist", (-F.col("id")).alias("x"))).alias("b")).first()["b"]
         if best is None:
             break
         picks.append((i + 1, best["id"], best["min_dist"]))
-        gone = [p[1] for p in picks]
-        new = d.where(~F.col("id").isin(gone)).withColumn("min_dist", F.least("min_dist", dist(F.col("v"), lit(best["v"])))).persist()
-        d = new
+        if i + 1 < k:  # the new distances are a table: each pick reads one, whatever the number of picks before
+            d = saved(d.where(F.col("id") != best["id"]).withColumn("min_dist", F.least("min_dist", dist(F.col("v"), lit(best["v"])))))
     return vectors.sparkSession.createDataFrame(picks, f"pick int, id {vectors.schema[id_col].dataType.simpleString()}, min_dist double")
 
 
@@ -148,6 +148,6 @@ def embedding_coverage(docs: DataFrame, vectors: DataFrame, doc_key: str, vec_ke
 
 
 def shuffled(docs: DataFrame, key: str, seed: int = 0, n: int | None = None) -> DataFrame:
-    """A reproducible random order by the hash of the id; the first ``n`` if given."""
-    d = docs.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
-    return d if n is None else d.limit(n)
+    """A reproducible random order (column ``place``) by the md5 of seed and id; the first ``n`` if given."""
+    d = global_rank(docs.withColumn("_h", seeded(F.col(key), seed)), "_h", key, name="place").drop("_h")
+    return d if n is None else d.where(F.col("place") < n)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillet.functions.ranks import rank_in_groups, seeded
+
 
 def latest_schema(log: DataFrame) -> DataFrame:
     """(run_id, tables): the log of the last step; ``log``: (run_id, seq, tables array)."""
@@ -28,9 +30,11 @@ def consolidate(entries: DataFrame, assignments: DataFrame, min_documents: int =
 
 
 def example_documents(assignments: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
-    """At most k documents of each table, by the hash of their id."""
-    by = Window.partitionBy("res").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    return assignments.withColumn("example", F.row_number().over(by)).where(F.col("example") <= k)
+    """(res, example, doc_id): at most k documents of each table, in a seeded random order. The filter on row_number lets
+    each task keep its own k of a table before the shuffle (WindowGroupLimit), so a large table is no large group."""
+    by = Window.partitionBy("res").orderBy("h", "doc_id")
+    d = assignments.select("res", "doc_id", seeded(F.col("doc_id"), seed).alias("h"))
+    return d.withColumn("example", F.row_number().over(by)).where(F.col("example") <= k).select("res", "example", "doc_id")
 
 
 def tailored_schema(schema: DataFrame, queries: DataFrame) -> DataFrame:
@@ -51,3 +55,10 @@ def cluster(vectors: DataFrame, k: int = 2, vec_col: str = "embedding", seed: in
 
 def cluster_sizes(clustered: DataFrame, id_col: str) -> DataFrame:
     return clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("documents"), F.min(id_col).alias("first"))
+
+
+def cluster_documents(clustered: DataFrame, id_col: str, block: int = 100_000) -> DataFrame:
+    """(cluster, block, ids): the documents of each cluster in order, as lists of at most ``block`` ids, so that a cluster of
+    any size never is one row."""
+    ranked = rank_in_groups(clustered.select("cluster", F.col(id_col).alias("id")), "cluster", "id")
+    return ranked.groupBy("cluster", F.floor(F.col("rank") / block).alias("block")).agg(F.sort_array(F.collect_list("id")).alias("ids"))

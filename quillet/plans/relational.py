@@ -36,7 +36,13 @@ SQL: dict[str, str] = {
     "q25_derived_key": "SELECT substr(p.p_brand, 1, 7) AS brand, count(*) AS n FROM part p JOIN (SELECT DISTINCT substr(p_brand, 1, 7) AS b FROM part WHERE p_size < 10) k ON substr(p.p_brand, 1, 7) = k.b GROUP BY substr(p.p_brand, 1, 7)",
     "q26_join_inequality": "SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey AND c.c_acctbal <> s.s_acctbal WHERE c.c_acctbal > 9000",
     "q27_join_sum_having": "SELECT n.n_name AS nation, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name HAVING sum(o.o_totalprice) > 1000000",
-    "q28_avg_having_avg": "SELECT p_type, p_size, round(avg(p_retailprice) + 0.0000001, 2) AS avg_price FROM part GROUP BY p_type, p_size HAVING avg(p_retailprice) > 1000",
+    "q28_avg_having_avg": "SELECT p_type, p_size, round(avg(p_retailprice) + 0.0000001, 2) AS avg_price FROM part GROUP BY p_type, p_size HAVING avg(p_retailprice) > (SELECT avg(p_retailprice) FROM part)",
+    "q28_sum_two_keys": "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice) / 1000, 0) AS total FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING sum(l_quantity) > 100",
+    "q20_top_rows": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
+    "q20_top_by_sum": "SELECT l_suppkey, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_suppkey ORDER BY sum(l_quantity) DESC, l_suppkey LIMIT 5",
+    "q20_top_by_distinct": "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_suppkey ORDER BY count(DISTINCT l_partkey) DESC, l_suppkey LIMIT 5",
+    "q21_rows_at_least_average": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= (SELECT avg(o_totalprice) FROM orders)",
+    "q24_large_groups": "SELECT c_nationkey, count(*) AS members FROM customer GROUP BY c_nationkey HAVING count(*) > (SELECT count(*) / 25 FROM customer)",
 }
 #: Where the two engines spell a function differently.
 SPARK_FORM = {"q08_row_of_maximum": "SELECT p_brand, max_by(p_name, named_struct('a', p_retailprice, 'b', -p_partkey)) AS dearest FROM part GROUP BY p_brand"}

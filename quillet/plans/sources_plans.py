@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillet.functions.nulls import is_none_value, is_null
+from quillet.functions.shared import shared_dir
 from quillet.functions.vectors import cosine
 from quillet.operators import chunks as C
 from quillet.operators import population as P
@@ -99,12 +102,21 @@ def a10_convert_dataset(spark, sf):
     return D.convert_dataset(n)[1]
 
 
-@query("""SELECT 'missing right' AS kind, attr, count(*) AS n FROM part, (VALUES ('p_name'), ('p_retailprice')) t(attr) WHERE p_partkey % 13 = 0 GROUP BY attr
-UNION ALL SELECT 'value', 'p_name', count(*) FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 = 0""")
+@query("""SELECT p_partkey, attr, CASE WHEN p_partkey % 13 = 0 THEN 'missing right' WHEN p_partkey % 17 = 0 THEN 'missing left' ELSE 'value' END AS kind FROM part, (VALUES ('p_name'), ('p_retailprice')) t(attr)
+WHERE (p_partkey % 13 = 0 AND p_partkey % 17 <> 0) OR (p_partkey % 17 = 0 AND p_partkey % 13 <> 0) OR (p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 AND p_partkey % 11 = 0 AND attr = 'p_name')""")
 def a11_parity_check(spark, sf):
     a = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
-    b = a.where(F.col("p_partkey") % 13 != 0).withColumn("p_retailprice", F.col("p_retailprice") * (1 + 1e-9)).withColumn("p_name", F.when(F.col("p_partkey") % 11 == 0, F.lit("x")).otherwise(F.col("p_name")))
-    return D.compare_datasets(a, b, ["p_partkey"]).groupBy("kind", "attr").agg(F.count(F.lit(1)).alias("n"))
+    a, whole = a.where(F.col("p_partkey") % 17 != 0), a
+    b = whole.where(F.col("p_partkey") % 13 != 0).withColumn("p_retailprice", F.col("p_retailprice") * (1 + 1e-9)).withColumn("p_name", F.when(F.col("p_partkey") % 11 == 0, F.lit("x")).otherwise(F.col("p_name")))
+    return D.compare_datasets(a, b, ["p_partkey"]).select("p_partkey", "attr", "kind")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderstatus AS status, 'orders' AS dataset, 'Q' || o_orderkey % 2 AS query_id, 'base' AS param FROM orders")
+def a12_write_population(spark, sf):
+    path = f"{shared_dir(spark)}/population-{uuid.uuid4().hex}"
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_orderstatus").alias("status"), F.lit("orders").alias("dataset"), F.concat(F.lit("Q"), F.col("o_orderkey") % 2).alias("query_id"), F.lit("base").alias("param"))
+    D.write_population(o, path)
+    return spark.read.parquet(path)
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id FROM orders WHERE o_orderkey % 3 <> 0")
@@ -135,7 +147,7 @@ def b02_augment_query(spark, sf):
 
 @query("SELECT p_brand AS schema_name, string_agg(p_name, ',' ORDER BY p_partkey) AS features FROM part GROUP BY p_brand")
 def b03_feature_list(spark, sf):
-    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("schema_name")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), ",").alias("features"))
+    return C.feature_list(table(spark, sf, "part").withColumnRenamed("p_brand", "schema_name"), "schema_name", order="p_partkey", name="p_name")
 
 
 @query()
@@ -144,6 +156,7 @@ def b04_embed(spark, sf):
 
 
 _SIM = "round(list_cosine_similarity(CAST({} AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6)"
+_QUERY_IDS = (0, 1, 2)
 
 
 def _first_vector(spark, sf):
@@ -156,7 +169,7 @@ def b05_cosine(spark, sf):
     return e.select("vec_id", F.round(cosine(F.col("embedding"), F.col("query_vec")), 6).alias("sim"))
 
 
-_FILTERED = f"WITH c AS ({_CHUNKS}), s AS (SELECT c.*, count(*) OVER (PARTITION BY doc_id) AS n, {_SIM.format('e.embedding')} AS sim FROM c JOIN embeddings e ON e.vec_id = (doc_id * 7 + chunk_index) % (SELECT count(*) FROM embeddings)), f AS (SELECT *, n = 1 OR sim >= 0.0 AS kept FROM s) "
+_FILTERED = f"WITH c AS ({_CHUNKS}), t AS (SELECT c.*, count(*) OVER (PARTITION BY doc_id) AS n, e.embedding AS v FROM c JOIN embeddings e ON e.vec_id = (doc_id * 7 + chunk_index) % (SELECT count(*) FROM embeddings)), s AS (SELECT t.*, q.vec_id AS query_id, list_cosine_similarity(CAST(t.v AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS sim FROM t, embeddings q WHERE q.vec_id IN {_QUERY_IDS}), f AS (SELECT *, n = 1 OR sim >= 0.0 AS kept FROM s) "
 
 
 def _filtered(spark, sf):
@@ -164,22 +177,23 @@ def _filtered(spark, sf):
     n = e.agg(F.count(F.lit(1)).alias("n_vec"))
     ch = C.chunk_documents(table(spark, sf, "documents"), text_col="text").crossJoin(F.broadcast(n))
     ch = ch.join(e.select("vec_id", "embedding"), (F.col("doc_id") * 7 + F.col("chunk_index")) % F.col("n_vec") == F.col("vec_id")).select("doc_id", "chunk_index", "chunk", "embedding")
-    return C.filter_chunks(ch, _first_vector(spark, sf), 0.0)
+    return C.filter_chunks(ch, e.where(F.col("vec_id").isin(*_QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), 0.0)
 
 
-@query(_FILTERED + "SELECT doc_id, chunk_index, kept FROM f")
+@query(_FILTERED + "SELECT query_id, doc_id, chunk_index, kept FROM f")
 def b06_filter_chunks(spark, sf):
-    return _filtered(spark, sf).select("doc_id", "chunk_index", "kept")
+    return _filtered(spark, sf).select("query_id", "doc_id", "chunk_index", "kept")
 
 
-@query(_FILTERED + "SELECT doc_id, count(*) AS num_chunks, count(*) FILTER (WHERE kept) AS num_kept, count(*) FILTER (WHERE NOT kept) AS num_dropped, min(sim) AS min_sim, max(sim) AS max_sim FROM f GROUP BY doc_id")
+@query(_FILTERED + "SELECT query_id, doc_id, count(*) AS num_chunks, count(*) FILTER (WHERE kept) AS num_kept, count(*) FILTER (WHERE NOT kept) AS num_dropped, round(min(sim), 6) AS min_sim, round(max(sim), 6) AS max_sim, round(avg(sim), 6) AS avg_sim FROM f GROUP BY query_id, doc_id")
 def b07_filter_statistics(spark, sf):
-    return C.filter_statistics(_filtered(spark, sf)).select("doc_id", "num_chunks", "num_kept", "num_dropped", F.round("min_sim", 6).alias("min_sim"), F.round("max_sim", 6).alias("max_sim"))
+    s = C.filter_statistics(_filtered(spark, sf), "query_id")
+    return s.select("query_id", "doc_id", "num_chunks", "num_kept", "num_dropped", *[F.round(c, 6).alias(c) for c in ("min_sim", "max_sim", "avg_sim")])
 
 
-@query(_FILTERED + "SELECT doc_id, md5(coalesce(string_agg(chunk, chr(10) || chr(10) ORDER BY chunk_index) FILTER (WHERE kept), '')) AS hash FROM f GROUP BY doc_id")
+@query(_FILTERED + "SELECT query_id, doc_id, md5(coalesce(string_agg(chunk, chr(10) || chr(10) ORDER BY chunk_index) FILTER (WHERE kept), '')) AS hash FROM f GROUP BY query_id, doc_id")
 def b08_reassemble(spark, sf):
-    return C.reassemble(_filtered(spark, sf)).select("doc_id", F.md5("doc_text").alias("hash"))
+    return C.reassemble(_filtered(spark, sf), "query_id").select("query_id", "doc_id", F.md5("doc_text").alias("hash"))
 
 
 @query("SELECT round(quantile_cont(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 0.05), 6) AS threshold FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0) AND vec_id <> 0")

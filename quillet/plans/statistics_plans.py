@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillet.functions.predicates import conjunction
+from quillet.functions.shared import saved
 from quillet.operators import cascade as K
 from quillet.operators import detection as H
 from quillet.operators import evaluation as G
@@ -94,10 +95,22 @@ def f05_cascade_cost(spark, sf):
     return K.cascade_cost(table(spark, sf, "part"), [(_P1, 5), (_P2, 7), (_P3, 11)]).select("stage", "reached", "cost")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN (p_size % 100) / 100.0::DOUBLE WHEN 1 THEN CASE WHEN p_size > 1 THEN p_size / 100.0::DOUBLE ELSE p_size END WHEN 2 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS selectivity FROM part")
+_PRIORS = "SELECT DISTINCT p_brand AS attr, CAST(substr(p_brand, 7) AS DOUBLE) / 100 AS mu FROM part WHERE substr(p_brand, 7) <> '11' UNION ALL SELECT 'unseen', 0.25::DOUBLE"
+
+
+@query(f"SELECT attr, coalesce(mu, 0.5) * 3 + coalesce(p, 0) AS alpha, (1 - coalesce(mu, 0.5)) * 3 + coalesce(f, 0) AS beta FROM (SELECT attr, count(*) FILTER (WHERE passed) AS p, count(*) FILTER (WHERE NOT passed) AS f FROM ({_OBS}) t GROUP BY attr) o FULL JOIN ({_PRIORS}) q USING (attr)")
+def f06_priors(spark, sf):
+    part = table(spark, sf, "part")
+    known = part.where("substr(p_brand, 7) <> '11'").select(F.col("p_brand").alias("attr"), (F.expr("cast(substr(p_brand, 7) AS double)") / 100).alias("mean")).distinct()
+    priors = known.union(part.agg(F.lit("unseen").alias("attr"), F.lit(0.25).alias("mean")))
+    return K.posterior(part.select(F.col("p_brand").alias("attr"), (F.col("p_size") >= 20).alias("passed")), priors).drop("mean")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN (p_size % 100) / 100.0::DOUBLE WHEN 1 THEN CASE WHEN p_size > 1 THEN p_size / 100.0::DOUBLE ELSE p_size END WHEN 2 THEN 0.8::DOUBLE WHEN 4 THEN 0.2::DOUBLE WHEN 6 THEN least(p_size / 10.0::DOUBLE, 1) ELSE 0.5::DOUBLE END AS selectivity FROM part")
 def f09_parse_selectivity(spark, sf):
-    k, s = F.col("p_partkey") % 4, F.col("p_size")
-    text = F.when(k == 0, F.concat(F.lit('{"selectivity": '), F.format_string("%.2f", s / 100.0), F.lit("}"))).when(k == 1, F.concat(F.lit("about "), s, F.lit(" percent"))).when(k == 2, F.lit("quite High")).otherwise(F.lit("no idea"))
+    k, s = F.col("p_partkey") % 7, F.col("p_size")
+    text = F.when(k == 0, F.concat(F.lit('{"selectivity": '), F.format_string("%.2f", s / 100.0), F.lit("}"))).when(k == 1, F.concat(F.lit("about "), s, F.lit(" percent"))).when(k == 2, F.lit("quite High, not low")).when(k == 4, F.lit("low to medium"))
+    text = text.when(k == 5, F.concat(F.lit('{"share": '), s, F.lit("}"))).when(k == 6, F.concat(F.lit('{"value": '), F.format_string("%.1f", s / 10.0), F.lit("}"))).otherwise(F.lit("no idea"))
     return table(spark, sf, "part").select("p_partkey", K.parse_selectivity(text).alias("selectivity"))
 
 
@@ -179,7 +192,10 @@ def c11_farthest_from_mean(spark, sf):
     return S.farthest_from_mean(table(spark, sf, "embeddings")).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+_FAR = "SELECT vec_id FROM embeddings, (SELECT list(m ORDER BY i) AS mean FROM (SELECT i, avg(x) AS m FROM (SELECT generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id IN {chosen}) u GROUP BY i) g) m WHERE vec_id NOT IN {gone} ORDER BY " + _DIST.format(a="embedding", b="mean") + " DESC, vec_id LIMIT 1"
+
+
+@query("WITH p1 AS (" + _FAR.format(chosen="(SELECT vec_id FROM embeddings)", gone="(SELECT -1)") + "), p2 AS (" + _FAR.format(chosen="(SELECT vec_id FROM p1)", gone="(SELECT vec_id FROM p1)") + "), p12 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2), p3 AS (" + _FAR.format(chosen="(SELECT vec_id FROM p12)", gone="(SELECT vec_id FROM p12)") + ") SELECT 1 AS pick, vec_id AS id FROM p1 UNION ALL SELECT 2, vec_id FROM p2 UNION ALL SELECT 3, vec_id FROM p3")
 def c12_diversity_order(spark, sf):
     return S.diversity_order(table(spark, sf, "embeddings"), 3)
 
@@ -189,7 +205,7 @@ def c13_embedding_coverage(spark, sf):
     return S.embedding_coverage(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "embeddings").select("vec_id"), "doc_id", "vec_id")
 
 
-@query()
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS place FROM documents")
 def c14_shuffle(spark, sf):
     return S.shuffled(table(spark, sf, "documents").select("doc_id"), "doc_id", 7)
 
@@ -217,7 +233,7 @@ def d03_consolidate(spark, sf):
     return out.select("table_name", F.get("attrs", F.lit(0)).alias("attrs"), "n_documents")
 
 
-@query()
+@query("SELECT source AS res, CAST(r AS INTEGER) AS example, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) AS r FROM documents) t WHERE r <= 3")
 def d04_example_documents(spark, sf):
     return B.example_documents(table(spark, sf, "documents").select("doc_id", F.col("source").alias("res")))
 
@@ -239,9 +255,19 @@ def d07_cluster(spark, sf):
     return B.cluster(table(spark, sf, "embeddings").select("vec_id", "embedding"), 2).select("vec_id", "cluster")
 
 
-@query()
+def _given_clusters(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("cluster"))
+
+
+@query("SELECT label AS cluster, count(*) AS documents, min(vec_id) AS first FROM embeddings GROUP BY label")
 def d08_cluster_sizes(spark, sf):
-    return B.cluster_sizes(B.cluster(table(spark, sf, "embeddings").select("vec_id", "embedding"), 2), "vec_id")
+    return B.cluster_sizes(_given_clusters(spark, sf), "vec_id")
+
+
+@query("SELECT label AS cluster, r // 100 AS block, string_agg(vec_id, ',' ORDER BY vec_id) AS ids FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings) t GROUP BY 1, 2")
+def d08_cluster_documents(spark, sf):
+    d = B.cluster_documents(_given_clusters(spark, sf), "vec_id", 100)
+    return d.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------
@@ -339,6 +365,25 @@ def g12_missing_verdicts(spark, sf):
     return G.missing_verdicts(cmp, known)
 
 
+def _verdicts(spark, sf):
+    k = F.col("o_orderkey")
+    votes = table(spark, sf, "orders").where(k % 17 == 0).select(F.lit("x").alias("pred_value"), F.lower("o_orderstatus").alias("gt_value"), (k % 5 < F.when(F.col("o_orderstatus") == "F", 1).otherwise(4)).alias("vote"))
+    return G.committee_vote(votes)
+
+
+_JUDGED = ", vd AS (SELECT lower(o_orderstatus) AS g, count(*) FILTER (WHERE o_orderkey % 5 < CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 4 END) * 2 >= count(*) AS yes FROM orders WHERE o_orderkey % 17 = 0 GROUP BY 1), cv AS (SELECT doc_id, attr, CASE WHEN outcome = 'FP' AND c.p = 'x' AND attr = 'status' AND c.g <> '' AND yes THEN 'TP' ELSE outcome END AS outcome FROM c LEFT JOIN vd ON vd.g = c.g) "
+
+
+@query(_EV + _JUDGED + "SELECT doc_id, attr, outcome FROM cv")
+def g12_verdict_lookup(spark, sf):
+    return G.compare_attributes(_checked(spark, sf), _name_map(spark, sf), _verdicts(spark, sf)).select("doc_id", "attr", "outcome")
+
+
+@query(_EV + _JUDGED + ", cj AS (SELECT doc_id, count(*) FILTER (WHERE outcome = 'TP') AS tp, count(*) FILTER (WHERE outcome = 'FP') AS fp, count(*) FILTER (WHERE outcome = 'FN') AS fn FROM cv GROUP BY doc_id) SELECT ok.doc_id, coalesce(tp, 0) AS tp, coalesce(fp, 0) + note::INT AS fp, coalesce(fn, 0) AS fn FROM ok JOIN cj USING (doc_id)")
+def g07_judged_counts(spark, sf):
+    return G.document_counts(_checked(spark, sf).where("table_ok"), _name_map(spark, sf), _verdicts(spark, sf)).select("doc_id", "tp", "fp", "fn")
+
+
 @query("SELECT a.n_regionkey AS k, count(*) FILTER (WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 = 0) AS tp, count(*) FILTER (WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0) AS fp, count(*) FILTER (WHERE n_nationkey % 2 <> 0 AND n_nationkey % 3 = 0) AS fn FROM nation a GROUP BY 1")
 def g14_set_counts(spark, sf):
     n = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.collect_set(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))).alias("a"), F.collect_set(F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name"))).alias("b"))
@@ -383,6 +428,11 @@ def h03_ordered_split(spark, sf):
     return H.ordered_split(_labels(spark, sf), 0.8).select("doc_id", "is_train")
 
 
+@query("WITH s AS (SELECT doc_id FROM labels ORDER BY md5('3:' || doc_id), doc_id LIMIT 100) SELECT doc_id, toxic AS y, percent_rank() OVER (ORDER BY doc_id) < 0.8 AS is_train FROM labels WHERE doc_id IN (SELECT doc_id FROM s)")
+def h03_train_sample(spark, sf):
+    return H.ordered_split(H.train_sample(_labels(spark, sf), 100, seed=3), 0.8).select("doc_id", "y", "is_train")
+
+
 def _vector_samples(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.when(F.col("label") == 3, 1).otherwise(0).alias("y"))
 
@@ -390,7 +440,9 @@ def _vector_samples(spark, sf):
 @query()
 def h04_error_classifier(spark, sf):
     d = _vector_samples(spark, sf)
-    return H.score_samples(H.train_classifier(d), d).select("vec_id", "y", "prob")
+    split = saved(H.ordered_split(d, 0.8, "vec_id"))
+    model, _ = H.best_classifier(H.oversample(split.where("is_train"), order="vec_id"), split.where("not is_train"))
+    return H.score_samples(model, d).select("vec_id", "y", "prob")
 
 
 @query()
@@ -427,8 +479,8 @@ def h07_ensemble_voting(spark, sf):
 
 
 _MET = "count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp"
-_RATES = "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round((fp + fn) / (tn + fp + fn + tp), 6) AS error_rate, round(fn / (tn + fp + fn + tp), 6) AS residual_error_rate, round(CASE WHEN tn + fp > 0 THEN fp / (tn + fp) ELSE 0 END, 6) AS extra_cost_rate, round((tn + fp + tp) / (tn + fp + fn + tp), 6) AS corrected_accuracy"
-_COLS = ("precision", "recall", "error_rate", "residual_error_rate", "extra_cost_rate", "corrected_accuracy")
+_RATES = "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END, 6) AS f1, round((fp + fn) / (tn + fp + fn + tp), 6) AS error_rate, round((tn + fp) / (tn + fp + fn + tp), 6) AS original_accuracy, round(fn / (tn + fp + fn + tp), 6) AS residual_error_rate, round(CASE WHEN tn + fp > 0 THEN fp / (tn + fp) ELSE 0 END, 6) AS extra_cost_rate, round((tn + fp + tp) / (tn + fp + fn + tp), 6) AS corrected_accuracy"
+_COLS = ("precision", "recall", "f1", "error_rate", "residual_error_rate", "extra_cost_rate", "original_accuracy", "corrected_accuracy")
 
 
 @query(_OUT + f", v AS ({_VOTES['half']}), m AS (SELECT {_MET} FROM v JOIN labels USING (doc_id), (SELECT 1) WHERE true) SELECT tn, fp, fn, tp, {_RATES} FROM m".replace("y = ", "toxic = "))
@@ -442,7 +494,7 @@ def h09_roc_auc(spark, sf):
     return H.roc_auc(_scores(spark, sf), "layer").withColumn("auc", F.round("auc", 6))
 
 
-@query()
+@query(f"SELECT layer, CAST((row_number() OVER (ORDER BY md5('0:' || layer), layer) - 1) // 2 AS INTEGER) AS ens FROM range({_N_LAYERS}) l(layer)")
 def h10_layer_ensembles(spark, sf):
     return H.assign_ensembles(_outputs(spark, sf), 2)
 
@@ -452,14 +504,18 @@ _PREFIX = "pr AS (SELECT p.prefix, doc_id, y, CASE WHEN sum((s >= 0.6)::INT) * 2
 
 @query(_OUT + f", {_PREFIX}, m AS (SELECT prefix, {_MET} FROM pr GROUP BY prefix) SELECT prefix, tn, fp, fn, tp, {_RATES} FROM m")
 def h11_incremental_ensembles(spark, sf):
-    e = _ens(spark, sf).withColumn("prefix", F.explode(F.sequence(F.col("ens") + 1, F.lit(3))))
-    s = e.groupBy("prefix", "doc_id", "y", "ens").agg(F.avg("score").alias("s")).groupBy("prefix", "doc_id", "y").agg(F.when(F.count_if(F.col("s") >= 0.6) * 2 >= F.count(F.lit(1)), 1).otherwise(0).alias("pred"))
-    return H.detection_metrics(s, "prefix").select("prefix", "tn", "fp", "fn", "tp", *[F.round(c, 6).alias(c) for c in _COLS])
+    return H.detection_metrics(H.prefix_votes(_ens(spark, sf), 3, 0.6), "prefix").select("prefix", "tn", "fp", "fn", "tp", *[F.round(c, 6).alias(c) for c in _COLS])
 
 
-@query(_OUT + f", m AS (SELECT layer, {_MET} FROM (SELECT *, (score >= 0.6)::INT AS pred FROM sc) x GROUP BY layer) SELECT layer, tn, fp, fn, tp, {_RATES} FROM m")
+_SIZED = "sz AS (SELECT doc_id, y, layer, size, least(score + size / 1000.0::DOUBLE * ((doc_id * 7 + layer) % 5), 1) AS score FROM sc, (SELECT unnest([50, 100]) AS size) q)"
+_AUC = "round((sum(rk) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 6) AS auc"
+
+
+@query(_OUT + f", {_SIZED}, m AS (SELECT layer, size, {_MET} FROM (SELECT *, (score >= 0.6)::INT AS pred FROM sz) x GROUP BY layer, size), u AS (SELECT layer, size, {_AUC} FROM (SELECT *, rank() OVER (PARTITION BY layer, size ORDER BY score) + (count(*) OVER (PARTITION BY layer, size, score) - 1) / 2 AS rk FROM sz) r GROUP BY layer, size) SELECT m.layer, m.size, tn, fp, fn, tp, {_RATES}, auc FROM m JOIN u ON m.layer = u.layer AND m.size = u.size")
 def h12_size_grid(spark, sf):
-    return H.detection_metrics(_scores(spark, sf).withColumn("pred", (F.col("score") >= 0.6).cast("int")), "layer").select("layer", "tn", "fp", "fn", "tp", *[F.round(c, 6).alias(c) for c in _COLS])
+    size = F.explode(F.array(F.lit(50), F.lit(100))).alias("size")
+    s = _scores(spark, sf).select("doc_id", "y", "layer", "score", size).withColumn("score", F.least(F.col("score") + F.col("size") / 1000.0 * ((F.col("doc_id") * 7 + F.col("layer")) % 5), F.lit(1.0)))
+    return H.size_grid(s, "layer", "size", threshold=0.6).select("layer", "size", "tn", "fp", "fn", "tp", *[F.round(c, 6).alias(c) for c in (*_COLS, "auc")])
 
 
 def _three_votes(spark, sf):
@@ -485,11 +541,11 @@ def _split(spark, sf):
     return _labels(spark, sf).withColumn("part", part)
 
 
-_CONF = _OUT + ", sp AS (SELECT doc_id, toxic AS y, CASE WHEN doc_id % 10 = 0 THEN 'cell' WHEN doc_id % 3 = 0 THEN 'recal' ELSE 'test' END AS part FROM labels), pv AS (SELECT doc_id, list(score ORDER BY layer) AS p FROM sc WHERE layer < 3 GROUP BY 1), bo AS (SELECT sp.*, lab, list_transform(p, lambda x: CASE WHEN lab = 1 THEN 1 - x ELSE x END) AS s FROM sp JOIN pv USING (doc_id), (SELECT unnest([0, 1]) AS lab) l), ce AS (SELECT doc_id AS cell, s AS c FROM bo WHERE part = 'cell' AND lab = y), di AS (SELECT part, doc_id, y, lab, cell, (s[1] - c[1]) * (s[1] - c[1]) + (s[2] - c[2]) * (s[2] - c[2]) + (s[3] - c[3]) * (s[3] - c[3]) AS d FROM bo, ce WHERE part <> 'cell'), pl AS (SELECT part, doc_id, y, lab, cell FROM di QUALIFY row_number() OVER (PARTITION BY doc_id, lab ORDER BY d, cell) = 1), pe AS (SELECT ce.cell, count(*) FILTER (WHERE part = 'recal' AND lab = y) AS t, count(*) FILTER (WHERE part = 'recal' AND lab <> y) AS f FROM ce LEFT JOIN pl ON ce.cell = pl.cell GROUP BY 1), ra AS (SELECT *, coalesce(sum(t) OVER (ORDER BY CASE WHEN t > 0 THEN (f + t) / t ELSE 'inf'::DOUBLE END, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pe), tk AS (SELECT alpha, cell FROM ra, (SELECT unnest([0.05, 0.1, 0.2]::DOUBLE[]) AS alpha) a WHERE before < ceil((1 - alpha) * ((SELECT count(*) FROM sp WHERE part = 'recal') + 1))), se AS (SELECT a.alpha, pl.doc_id, pl.y, list_sort(list(DISTINCT lab) FILTER (WHERE tk.cell IS NOT NULL)) AS labels FROM pl CROSS JOIN (SELECT unnest([0.05, 0.1, 0.2]::DOUBLE[]) AS alpha) a LEFT JOIN tk ON tk.alpha = a.alpha AND tk.cell = pl.cell WHERE part = 'test' GROUP BY 1, 2, 3), st AS (SELECT alpha, doc_id, y, CASE WHEN labels IS NULL OR len(labels) = 0 THEN [0] ELSE labels END AS labels FROM se) "
+_CONF = _OUT + ", sp AS (SELECT doc_id, toxic AS y, CASE WHEN doc_id % 10 = 0 THEN 'cell' WHEN doc_id % 3 = 0 THEN 'recal' ELSE 'test' END AS part FROM labels), pv AS (SELECT doc_id, list(score ORDER BY layer) AS p FROM sc WHERE layer < 3 GROUP BY 1), bo AS (SELECT sp.*, lab, list_transform(p, lambda x: CASE WHEN lab = 1 THEN 1 - x ELSE x END) AS s FROM sp JOIN pv USING (doc_id), (SELECT unnest([0, 1]) AS lab) l), ce AS (SELECT doc_id AS cell, s AS c FROM bo WHERE part = 'cell' AND lab = y ORDER BY doc_id LIMIT 50), di AS (SELECT part, doc_id, y, lab, cell, (s[1] - c[1]) * (s[1] - c[1]) + (s[2] - c[2]) * (s[2] - c[2]) + (s[3] - c[3]) * (s[3] - c[3]) AS d FROM bo, ce WHERE part <> 'cell'), pl AS (SELECT part, doc_id, y, lab, cell FROM di QUALIFY row_number() OVER (PARTITION BY doc_id, lab ORDER BY d, cell) = 1), pe AS (SELECT ce.cell, count(*) FILTER (WHERE part = 'recal' AND lab = y) AS t, count(*) FILTER (WHERE part = 'recal' AND lab <> y) AS f FROM ce LEFT JOIN pl ON ce.cell = pl.cell GROUP BY 1), ra AS (SELECT *, coalesce(sum(t) OVER (ORDER BY CASE WHEN t > 0 THEN (f + t) / t ELSE 'inf'::DOUBLE END, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pe), tk AS (SELECT alpha, cell FROM ra, (SELECT unnest([0.05, 0.1, 0.2]::DOUBLE[]) AS alpha) a WHERE before < ceil((1 - alpha) * ((SELECT count(*) FROM sp WHERE part = 'recal') + 1))), se AS (SELECT a.alpha, pl.doc_id, pl.y, list_sort(list(DISTINCT lab) FILTER (WHERE tk.cell IS NOT NULL)) AS labels FROM pl CROSS JOIN (SELECT unnest([0.05, 0.1, 0.2]::DOUBLE[]) AS alpha) a LEFT JOIN tk ON tk.alpha = a.alpha AND tk.cell = pl.cell WHERE part = 'test' GROUP BY 1, 2, 3), st AS (SELECT alpha, doc_id, y, CASE WHEN labels IS NULL OR len(labels) = 0 THEN [0] ELSE labels END AS labels FROM se) "
 
 
-def _sets(spark, sf):
-    p = _scores(spark, sf).where("layer < 3").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("layer", "score"))), lambda x: x["score"]).alias("p"))
+def _sets(spark, sf, layers="layer < 3"):
+    p = _scores(spark, sf).where(layers).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("layer", "score"))), lambda x: x["score"]).alias("p"))
     return H.conformal_sets(p, _split(spark, sf), (0.05, 0.1, 0.2))
 
 
@@ -498,10 +554,24 @@ def h16_conformal_sets(spark, sf):
     return _sets(spark, sf).select("alpha", "doc_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
-@query(_CONF + "SELECT alpha, round(avg(list_contains(labels, y)::INT), 6) AS coverage, round(avg((len(labels) > 1)::INT), 6) AS abstain_share, round(avg(len(labels)), 6) AS avg_size FROM st GROUP BY alpha")
+@query(_CONF + f", cm AS (SELECT alpha, round(avg(list_contains(labels, y)::INT), 6) AS coverage, round(avg((len(labels) > 1)::INT), 6) AS abstain_share, round(avg(len(labels)), 6) AS avg_size, {_MET} FROM (SELECT *, list_contains(labels, 1)::INT AS pred FROM st) x GROUP BY alpha) SELECT alpha, coverage, abstain_share, avg_size, tn, fp, fn, tp, {_RATES} FROM cm")
 def h17_conformal_metrics(spark, sf):
     m = H.conformal_metrics(_sets(spark, sf))
-    return m.select("alpha", *[F.round(c, 6).alias(c) for c in ("coverage", "abstain_share", "avg_size")])
+    return m.select("alpha", "tn", "fp", "fn", "tp", *[F.round(c, 6).alias(c) for c in ("coverage", "abstain_share", "avg_size", *_COLS)])
+
+
+@query(_CONF + "SELECT alpha, doc_id FROM st WHERE y = 1 AND NOT list_contains(labels, 1)")
+def h17_missed_documents(spark, sf):
+    return H.missed_documents(_sets(spark, sf))
+
+
+_COVER = "SELECT {} AS head, alpha, round(avg(list_contains(labels, y)::INT), 6) AS coverage FROM st GROUP BY alpha"
+
+
+@query("SELECT * FROM (" + _CONF + _COVER.format(0) + ") a UNION ALL SELECT * FROM (" + _CONF.replace("layer < 3", "layer >= 3") + _COVER.format(1) + ") b")
+def h17_metrics_by_head(spark, sf):
+    both = _sets(spark, sf).withColumn("head", F.lit(0)).union(_sets(spark, sf, "layer >= 3").withColumn("head", F.lit(1)))
+    return H.conformal_metrics(both, "head").select("head", "alpha", F.round("coverage", 6).alias("coverage"))
 
 
 _GRID = "[" + ", ".join(map(str, H.THRESHOLDS)) + "]::DOUBLE[]"
@@ -535,7 +605,7 @@ def _tokens(spark, sf):
 
 def _aligned(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("tokens"))
-    span = H.align_span(F.col("tokens"), F.concat(F.lit('"'), F.get("tokens", F.lit(1)), F.lit(" "), F.get("tokens", F.lit(2)), F.lit('"')))
+    span = H.align_span(F.col("tokens"), F.concat(F.lit('"'), F.array_join(F.slice("tokens", F.lit(2), (F.col("item_id") % 40 + 1).cast("int")), ""), F.lit('" ')))
     return b.withColumn("s", span).select("item_id", F.col("s.start").alias("start"), F.col("s.n").alias("n"))
 
 
@@ -546,6 +616,6 @@ def e11_pool_tokens(spark, sf):
     return x.select("item_id", (F.col("i") + 1).cast("long").alias("dim"), F.round("m", 6).alias("mean"), F.round(F.get("pooled", (F.col("d") + F.col("i")).cast("int")), 6).alias("high"))
 
 
-@query("SELECT item_id, CAST(min_by(i - 1, i) AS INTEGER) AS start, 2 AS n FROM (SELECT item_id, t, generate_subscripts(t, 1) AS i FROM (SELECT item_id, string_split(text, ' ') AS t FROM benchmark) b) s WHERE t[i] || t[i + 1] = t[2] || t[3] GROUP BY item_id")
+@query("WITH b AS (SELECT item_id, string_split(text, ' ') AS t, item_id % 40 + 1 AS k FROM benchmark), s AS (SELECT item_id, t, generate_subscripts(t, 1) AS i, array_to_string(t[2:k + 1], '') AS want FROM b), e AS (SELECT *, unnest(range(i, least(i + 60, len(t) + 1))) AS j FROM s), m AS (SELECT item_id, i, j, row_number() OVER (PARTITION BY item_id ORDER BY i, j) AS r FROM e WHERE trim(array_to_string(t[i:j], ''), chr(34) || chr(39) || chr(10) || ' ') = trim(want, chr(34) || chr(39) || chr(10) || ' ')) SELECT b.item_id, CAST(i - 1 AS INTEGER) AS start, CAST(j - i + 1 AS INTEGER) AS n FROM b LEFT JOIN m ON b.item_id = m.item_id AND r = 1")
 def e10_align_span(spark, sf):
     return _aligned(spark, sf)

@@ -31,9 +31,12 @@ def resolve_text(docs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def read_text_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) of all files below a folder, one row a file; the path is relative to the folder."""
+    """(path, text) of all files below a folder, one row a file; the path is relative to the folder. Spark names files by
+    escaped addresses: a "+" is kept and the rest is decoded before the folder's own name is cut off."""
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    return raw.select(F.regexp_replace(F.col("_metadata.file_path"), f"^.*{root.rstrip('/')}/", "").alias("path"), F.col("value").alias("text"))
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.lit(f"{root.rstrip('/')}/")
+    return raw.select(F.substr(path, F.instr(path, folder) + F.length(folder)).alias("path"), F.col("value").alias("text"))
 
 
 def normalize_documents(raw: DataFrame, json_col: str = "json") -> DataFrame:

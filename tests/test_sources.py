@@ -1,4 +1,4 @@
-"""The loader's golden fixture: two documents, many-to-many mapping, queries and schemas."""
+"""A small collection: three documents, many-to-many mapping, queries and schemas."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,32 +9,34 @@ from quillet.streaming.resume import populate_stream
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([("doc1", "Doc text 1", "file_a.txt"), ("doc2", "", "file_b.txt"), ("doc3", None, "file_c.txt")], "doc_id string, doc_text string, source_file string")
+    return spark.createDataFrame([("m7", "minutes of the board", "x/one.md"), ("m8", "", "x/two words +1.md"), ("m9", None, "x/none.md")], "doc_id string, doc_text string, source_file string")
 
 
 def test_text_from_files(spark, docs, tmp_path):
-    (tmp_path / "file_b.txt").write_text("from file\nsecond line")
-    files = D.read_text_files(spark, str(tmp_path))
+    root = tmp_path / "a (b).c+d e"
+    (root / "x").mkdir(parents=True)
+    (root / "x" / "two words +1.md").write_text("from file\nsecond line")
+    files = D.read_text_files(spark, str(root))
     got = {r.doc_id: r.doc_text for r in D.resolve_text(docs, files).collect()}
-    assert got == {"doc1": "Doc text 1", "doc2": "from file\nsecond line", "doc3": ""}
+    assert got == {"m7": "minutes of the board", "m8": "from file\nsecond line", "m9": ""}
 
 
 def test_document_info(spark, docs):
-    mapping = spark.createDataFrame([("doc1", "items", "1"), ("doc1", "items", "2"), ("doc2", "items", "2"), ("doc2", "items", "9")], "doc_id string, table_name string, row_id string")
-    truth = spark.createDataFrame([("items", "1", {"name": "Widget"}), ("items", "2", {"name": "Gadget"})], "table_name string, row_id string, data map<string,string>")
+    mapping = spark.createDataFrame([("m7", "motions", "31"), ("m7", "motions", "32"), ("m8", "motions", "32"), ("m8", "motions", "99")], "doc_id string, table_name string, row_id string")
+    truth = spark.createDataFrame([("motions", "31", {"title": "roof"}), ("motions", "32", {"title": "fence"})], "table_name string, row_id string, data map<string,string>")
     got = {r.doc_id: r for r in D.document_info(docs, mapping, truth).collect()}
-    assert [x.row_id for x in got["doc1"].records] == ["1", "2"]
-    assert got["doc2"].n_records == 1 and got["doc3"].n_records == 0
+    assert [x.row_id for x in got["m7"].records] == ["31", "32"]
+    assert got["m8"].n_records == 1 and got["m9"].n_records == 0
 
 
 def test_queries_and_schemas(spark):
-    raw = spark.createDataFrame([("q1", "first question", '["name","price"]', "easy"), ("q2", "second", "not json", None)], "query_id string, query string, attributes string, diffculty string")
+    raw = spark.createDataFrame([("u1", "which motions passed", '["title","votes"]', "easy"), ("u2", "who spoke", "speaker", None)], "query_id string, query string, attributes string, diffculty string")
     q = {r.query_id: r for r in D.read_queries(raw).collect()}
-    assert q["q1"].attributes == ["name", "price"] and q["q1"].difficulty == "easy" and q["q2"].attributes == ["not json"]
-    schemas = spark.createDataFrame([("items", None), ("items", "q1")], "schema_name string, query_id string")
-    attrs = spark.createDataFrame([("items", "name", "n", None, 1), ("items", "price", "p", None, 2), ("items", "price", "p", "q1", 1)], "schema_name string, attribute_name string, description string, query_id string, ord int")
-    assert [a.name for a in D.schema_catalog(schemas, attrs).first().attributes] == ["name", "price"]
-    assert [r.attribute_name for r in D.schema_attributes(D.schema_catalog(schemas, attrs, "q1"), "items").collect()] == ["price"]
+    assert q["u1"].attributes == ["title", "votes"] and q["u1"].difficulty == "easy" and q["u2"].attributes == ["speaker"]
+    schemas = spark.createDataFrame([("motions", None), ("motions", "u1")], "schema_name string, query_id string")
+    attrs = spark.createDataFrame([("motions", "title", "t", None, 1), ("motions", "votes", "v", None, 2), ("motions", "votes", "v", "u1", 1)], "schema_name string, attribute_name string, description string, query_id string, ord int")
+    assert [a.name for a in D.schema_catalog(schemas, attrs).first().attributes] == ["title", "votes"]
+    assert [r.attribute_name for r in D.schema_attributes(D.schema_catalog(schemas, attrs, "u1"), "motions").collect()] == ["votes"]
 
 
 def test_layouts_and_order(spark):
