@@ -1,38 +1,25 @@
-"""Small Spark helpers of the corpus operators: shared-folder tables, hot keys, column hygiene."""
+"""Small Spark helpers of the corpus operators: batches of texts, column hygiene, folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillet.functions.shared import saved, shared_dir, small_side
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quillet-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["crc_mod", "saved", "shared_dir", "small_batches", "small_side", "without"]
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts may be long: keep the Arrow batches that tasks exchange with Python to a few MB (unless the session has set its own size)."""
+    """Texts may be long: keep the Arrow batches that tasks exchange with Python to a few MB (unless the session has
+    set its own size). Plans are run later than they are made, so the setting stays; it changes no result."""
     for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "256"),):
         if spark.conf.get(key, usual) == usual:
             spark.conf.set(key, value)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: it cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quillet-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop columns that an operator's own results are about to name (compared without case, as Spark resolves names)."""
     taken = {n.lower() for n in names}
@@ -42,13 +29,3 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
-
-
-def hot_keys(counts: DataFrame, n_col: str, total: int, max_keys: int) -> DataFrame:
-    """Keys with over 1/max_keys of all occurrences: fewer than ``max_keys`` rows whatever the input, so they can be broadcast."""
-    return counts.where(F.col(n_col) > F.lit(max(1, total // max_keys)))
-
-
-def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows (it is counted), as it is otherwise. For narrow tables."""
-    return F.broadcast(df) if df.count() <= max_rows else df

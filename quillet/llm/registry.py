@@ -2,7 +2,7 @@
 
 from . import embedding_dedup, fuzzy_passages, line_dedup, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, toxicity
 
-_MODULES = (fuzzy_passages, near_dedup, mixing, sentencepiece_codec, quality_classifier, embedding_dedup, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, line_dedup, toxicity)
+_MODULES = (quality_classifier, mixing, sentencepiece_codec, fuzzy_passages, near_dedup, embedding_dedup, lm_scoring, toxicity, quality_rules, line_dedup)
 
 
 def queries() -> dict:
