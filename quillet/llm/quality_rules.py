@@ -8,7 +8,9 @@ Scale: one pass counts buckets (each task sends at most ``BUCKETS`` rows), the w
 ``BUCKETS`` doubles, a second pass scores. No text is shuffled and everything stays in the JVM.
 
 Defined cases: a null text has no words; a document with under 50 words fails the base rule; with no trusted text
-at all every ratio is 0 and the method rejects nothing; columns named as a result column are replaced.
+at all every ratio is 0 and the method rejects nothing; a text of any length is counted whole; a score equal to the
+cutoff is kept; repeated rows count as often as they occur and get repeated results; an empty table gives an empty
+result; columns named as a result column are replaced.
 """
 
 from __future__ import annotations
@@ -68,29 +70,32 @@ def _weights(d: DataFrame, trusted: Column) -> list[float]:
     return [round(math.log((y + 1) / a) - math.log((x + 1) / b), 6) for x, y in zip(n, m, strict=True)]
 
 
-def with_repeats(d: DataFrame) -> DataFrame:
+def with_repeats(d: DataFrame, packed_windows: int = 1 << 24) -> DataFrame:
     """Adds ``_q_at``: sorted positions of the 3-word windows that occur twice or more in the text.
 
-    Windows are first compared by 40 hash bits, packed with their position into one sortable long; the few that
-    meet there are compared again by all 64 bits.
+    Windows are first compared by 40 hash bits, packed with their 24-bit position into one sortable long; the few that
+    meet there are compared again by all 64 bits. A text with more windows than that holds is sorted by whole hashes.
     """
     p = F.col("_q_p")
     d = d.withColumn("_q_win", F.zip_with(_head(p, 1), _tail(p, 1), lambda a, b: F.xxhash64(a, b)))
     low = F.lit((1 << 24) - 1)
-    d = d.withColumn("_q_s", F.sort_array(F.transform("_q_win", lambda h, i: F.shiftleft(h, 24).bitwiseOR(i.cast("long")))))
+    fits = F.size("_q_win") <= packed_windows
+    packed = F.sort_array(F.transform("_q_win", lambda h, i: F.shiftleft(h, 24).bitwiseOR(i.cast("long"))))
+    d = d.withColumn("_q_s", F.when(fits, packed).otherwise(F.array().cast("array<bigint>")))
     s = F.col("_q_s")
     met = F.zip_with(_head(s, 1), _tail(s, 1), lambda a, b: F.when(F.shiftright(a, 24) == F.shiftright(b, 24), F.array(a, b)))
     d = d.withColumn("_q_met", F.filter(met, lambda x: x.isNotNull()))
     where = F.transform(F.array_distinct(F.flatten("_q_met")), lambda x: x.bitwiseAND(low).cast("int"))
     by_hash = F.sort_array(F.transform(where, lambda i: F.struct(F.get(F.col("_q_win"), i).alias("h"), i.alias("i"))))
-    d = d.withColumn("_q_e", F.when(F.size("_q_met") > 0, by_hash))
+    whole = F.sort_array(F.transform("_q_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    d = d.withColumn("_q_e", F.when(F.size("_q_met") > 0, by_hash).when(~fits, whole))
     e = F.col("_q_e")
     same = F.zip_with(_head(e, 1), _tail(e, 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     at = F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
     return d.withColumn("_q_at", F.when(e.isNotNull(), at))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, max_trusted: int = 20_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, max_trusted: int = 20_000, packed_windows: int = 1 << 24) -> DataFrame:
     """Documents with the base counts, ``base_failed``, ``score`` (mean log ratio) and ``kept``.
 
     ``labels``: (doc_id, quality). The target is fitted on at most ``max_trusted`` documents with quality 1, chosen by
@@ -104,7 +109,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     found = _weights(featured(marked, text_col), F.col("_q_tid").isNotNull())
     weights = F.from_json(F.lit(json.dumps(found)), "array<double>")
 
-    d = with_repeats(featured(base, text_col))
+    d = with_repeats(featured(base, text_col), packed_windows)
     at = F.col("_q_at")
     gaps = F.zip_with(_head(at, 1), _tail(at, 1), lambda a, b: F.least(b - a, F.lit(3)))
     covered = F.when(F.size(at) > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda acc, g: acc + g)).otherwise(F.lit(0).cast("long"))
