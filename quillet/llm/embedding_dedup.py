@@ -2,22 +2,29 @@
 
 Unit vectors are turned by one fixed random rotation and split into ``BLOCKS`` blocks. Two vectors with cosine >= t
 have squared distance <= 2 (1 - t), so in at least one block their squared distance is at most 2 (1 - t) / BLOCKS.
-In every block a range join over a grid (cells as wide as the block's radius, on the block's first two coordinates)
-finds the pairs within that budget; the union of candidates is verified by cosine in double precision. A pair
-counts in the first block whose budget it meets, so it is counted once and no distinct over pairs is needed.
-
-Scale: identical vectors are one vector with a count. A task emits, for its cell, link counts and a spanning forest
-of the links, never the pairs themselves. Cells with over ``cell_rows`` vectors are split into chunks; wherever one of
-two cells that meet is split, each pair of their chunks is a group of its own, so that a group holds two chunks at most
-(or, where none is split, a cell and four next ones).
+In every block a range join finds the pairs within that budget; the union of candidates is verified by cosine in double
+precision. A pair counts in the first block whose budget it meets, so it is counted once and no distinct over pairs is
+needed.
+
+Scale: identical vectors are one vector with a count. A task emits link counts and a spanning forest of the links, never
+the pairs themselves. A label of up to ``grid_from`` * ``cell_rows`` vectors is dealt into chunks of ``cell_rows``; each pair
+of chunks is a group that joins all blocks in turn, so that a vector is shipped once for each chunk and not once for each
+block. In a group, a block's vectors are sorted by their first coordinate and compared only inside the band of the radius.
+Larger labels are cut by a grid in each block (cells as wide as the radius) on two to four coordinates, more where the label
+has more vectors; cells with over ``cell_rows`` vectors are dealt into chunks too, and wherever one of two cells that meet
+is, each pair of their chunks is a group. No group holds more than two chunks, or a cell and the next cells where none is
+dealt. In 64 dimensions a cell's radius is about the spread of a coordinate, so a grid keeps about 0.7 of a label's pairs for
+each coordinate: work on one label still grows with the square of its different vectors.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and vectors without a label, link
-with nothing; vectors of different lengths never link; rows equal in id, label and vector are one row; columns named
-as a result column are replaced.
+with nothing; vectors of different lengths never link; rows equal in id, label and vector are one row; an empty table
+gives an empty result; columns named as a result column are replaced.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +35,7 @@ from .common import saved, small_batches, small_side, without
 from .components import connected_components
 
 BLOCKS = 8
+DEPTHS = (2, 3, 4)
 RESULT = ["n_links", "component_id", "kept"]
 
 
@@ -58,24 +66,33 @@ def budget(dim: int, threshold: float) -> float:
 
 
 def pairs_in(rot: np.ndarray, home: np.ndarray, other: np.ndarray, block: int, edges: np.ndarray, limit: float, own: bool):
-    """(i, j) of rows home[i], other[j] within the budget of ``block`` and of no block before it; i < j if own."""
-    sub = rot[:, edges[block] : edges[block + 1]]
+    """(i, j) of rows of ``home`` and ``other`` within the budget of ``block`` and of no block before it; each pair once if own.
+
+    Both sides are sorted by the block's first coordinate, and a run of home rows meets the rows in its band alone."""
+    sub = rot[:, edges[block] : edges[block + 1]].astype(np.float32)
     sq = (sub * sub).sum(axis=1)
+    first, radius = rot[:, edges[block]], np.sqrt(limit)
+    home = home[np.argsort(first[home], kind="stable")]
+    other = home if own else other[np.argsort(first[other], kind="stable")]
+    line = first[other]
     for a in range(0, len(home), 1024):
         h = home[a : a + 1024]
-        for b in range(a if own else 0, len(other), 4096):
+        low = a if own else int(np.searchsorted(line, first[h[0]] - radius))
+        for b in range(low, int(np.searchsorted(line, first[h[-1]] + radius, side="right")), 4096):
             o = other[b : b + 4096]
-            near = sq[h][:, None] + sq[o][None, :] - 2 * (sub[h] @ sub[o].T) <= limit + 1e-6
+            near = sq[h][:, None] + sq[o][None, :] - 2 * (sub[h] @ sub[o].T) <= limit + 1e-5
             i, j = np.nonzero(near)
             i, j = i + a, j + b
             if own:
                 i, j = i[i < j], j[i < j]
             x, y = home[i], other[j]
             keep = np.ones(len(x), bool)
-            for k in range(block + 1):  # the same arithmetic in each block's own task
-                d = rot[x, edges[k] : edges[k + 1]] - rot[y, edges[k] : edges[k + 1]]
-                inside = (d * d).sum(axis=1) <= limit
-                keep &= inside if k == block else ~inside
+            for s in range(0, len(x), 1 << 16):
+                p, q, ok = x[s : s + (1 << 16)], y[s : s + (1 << 16)], keep[s : s + (1 << 16)]
+                for k in range(block + 1):  # the same arithmetic in each block, wherever the pair meets
+                    d = rot[p, edges[k] : edges[k + 1]] - rot[q, edges[k] : edges[k + 1]]
+                    inside = (d * d).sum(axis=1) <= limit
+                    ok &= inside if k == block else ~inside
             yield x[keep], y[keep]
 
 
@@ -92,24 +109,34 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
+def half_offsets(depth: int) -> list[tuple[int, ...]]:
+    """The cell itself and one of each pair of opposite next cells."""
+    return [o for o in itertools.product((0, 1, -1), repeat=depth) if next((x for x in o if x), 1) > 0]
+
+
 def in_tiles(cells: DataFrame, dense: DataFrame, where: list[str]) -> DataFrame:
-    """``cells`` once for each group (``where``, chunk, dx, dy, source) that a vector is in, and whether it is at ``home`` there.
+    """``cells`` once for each group (``where``, chunk, off, source) that a vector is in, and whether it is at ``home`` there.
 
-    A group holds a chunk of a cell and one chunk (``source``) of the cell at (-dx, -dy) from it, so that each pair of cells
-    meets once; if dx = dy = 0 and source = chunk, the vectors at home also meet each other. Vectors of cells that are not
+    A group holds a chunk of a cell and one chunk (``source``) of the cell at -``off`` from it, so that each pair of cells
+    meets once; if ``off`` is zero and source = chunk, the vectors at home also meet each other. Vectors of cells that are not
     split visit the latter group of a next cell that is not split either. ``dense``: (``where``, chunks) of split cells.
     """
-    roles = [F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(home).alias("home")) for x, y in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1)) for home in (True, False)]
-    fixed = where[:-2]
-    d = cells.withColumn("s", F.explode(F.array(*roles))).select(*cells.columns, "s.*")
+    ints = lambda o: F.array(*[F.lit(x) for x in o]).cast("array<int>")
+    offsets = F.array(ints(()))
+    for depth in DEPTHS:
+        offsets = F.when(F.size("cell") == depth, F.array(*[ints(o) for o in half_offsets(depth)])).otherwise(offsets)
+    offsets = F.when(F.size("cell") == 1, F.array(ints((0,)), ints((1,)))).otherwise(offsets)
+    role = lambda home: F.transform(offsets, lambda o: F.struct(o.alias("off"), F.lit(home).alias("home")))
+    roles = F.concat(role(True), role(False))
+    fixed = where[:-1]
+    d = cells.withColumn("s", F.explode(roles)).select(*cells.columns, "s.*")
     # the cell at home in the group, and the one that its visitors come from
-    d = d.withColumn("hx", F.col("cx") + F.when(F.col("home"), 0).otherwise(F.col("dx"))).withColumn("hy", F.col("cy") + F.when(F.col("home"), 0).otherwise(F.col("dy")))
-    d = d.withColumn("vx", F.col("hx") - F.col("dx")).withColumn("vy", F.col("hy") - F.col("dy"))
-    side = small_side(dense)
-    for x, y, n in (("hx", "hy", "hn"), ("vx", "vy", "vn")):
-        d = d.join(side.select(*fixed, F.col("cx").alias(x), F.col("cy").alias(y), F.col("chunks").alias(n)), [*fixed, x, y], "left")
+    d = d.withColumn("hc", F.when(F.col("home"), F.col("cell")).otherwise(F.zip_with("cell", "off", lambda x, y: x + y))).withColumn("vc", F.zip_with("hc", "off", lambda x, y: x - y))
+    side = small_side(dense.select(F.xxhash64(*where).alias("cid"), "chunks"))  # two cells of one hash are dealt alike, which is right too
+    for c, n in (("hc", "hn"), ("vc", "vn")):
+        d = d.withColumn("_c", F.xxhash64(*fixed, c)).join(side.select(F.col("cid").alias("_c"), F.col("chunks").alias(n)), "_c", "left").drop("_c")
     split = F.col("hn").isNotNull() | F.col("vn").isNotNull()
-    same_cell = (F.col("dx") == 0) & (F.col("dy") == 0)
+    same_cell = F.forall("off", lambda x: x == 0)
     hn, vn = F.coalesce("hn", F.lit(1)), F.coalesce("vn", F.lit(1))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("home"), hn).otherwise(vn)).cast("int")
     group = lambda chunk, source: F.struct(chunk.cast("int").alias("chunk"), source.cast("int").alias("source"))
@@ -123,12 +150,12 @@ def in_tiles(cells: DataFrame, dense: DataFrame, where: list[str]) -> DataFrame:
     )
     d = d.withColumn("own", own).withColumn("g", F.explode(groups))
     # without a split cell, visitors join the group of the cell itself
-    merged = lambda c: F.when(split, F.col(c)).otherwise(zero).alias(c)
+    off = F.when(split, F.col("off")).otherwise(F.transform("off", lambda x: zero)).alias("off")
     values = [c for c in cells.columns if c not in where]
-    return d.select(*values, *fixed, F.col("hx").alias("cx"), F.col("hy").alias("cy"), F.col("g.chunk").alias("chunk"), merged("dx"), merged("dy"), F.col("g.source").alias("source"), "home")
+    return d.select(*values, *fixed, F.col("hc").alias("cell"), F.col("g.chunk").alias("chunk"), off, F.col("g.source").alias("source"), "home")
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, cell_rows: int = 4096) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, cell_rows: int = 8192, grid_from: int = 8) -> DataFrame:
     """Vectors with ``n_links``, ``component_id`` and ``kept``."""
     small_batches(vectors.sparkSession)
     base = without(vectors, RESULT).distinct()
@@ -143,22 +170,32 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     e_type = reps.schema["e"].dataType.simpleString()
     l_type, i_type = reps.schema["label"].dataType.simpleString(), reps.schema["rep"].dataType.simpleString()
 
+    # a grid in each block for large labels: one more coordinate for eight times the vectors
+    sizes = reps.groupBy("label", F.size("e").alias("dim")).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.col("n") / cell_rows)
+    depth = F.when(F.col("k") <= grid_from, 0).when(F.col("k") <= 8 * grid_from, DEPTHS[0]).when(F.col("k") <= 64 * grid_from, DEPTHS[1]).otherwise(DEPTHS[2])
+    width = F.floor(F.col("dim") / F.least(F.lit(BLOCKS), F.col("dim"))).cast("int")
+    depths = small_side(saved(sizes.select("label", "dim", F.least(depth, width).alias("depth"))))
+    sized = reps.withColumn("dim", F.size("e")).join(depths, ["label", "dim"]).select("label", "rep", "copies", "e", "dim", "depth")
+
     def to_cells(batches):
         for b in batches:
-            sizes = np.asarray(pc.list_value_length(b.column("e")))
-            for dim in np.unique(sizes):
-                part = b.filter(pa.array(sizes == dim))
+            kind = np.asarray(b.column("dim"), np.int64) * 16 + np.asarray(b.column("depth"), np.int64)
+            for one in np.unique(kind):
+                part = b.filter(pa.array(kind == one))
+                dim, depth, n = int(one) // 16, int(one) % 16, part.num_rows
+                fixed = [*(part.column(c) for c in ("label", "rep", "copies", "e", "dim"))]
+                names = ["label", "rep", "copies", "e", "dim", "block", "cell"]
+                row = lambda block, cell, fixed=fixed, n=n, depth=depth: pa.RecordBatch.from_arrays([*fixed, pa.array(np.full(n, block, np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * depth), pa.array(cell.ravel().astype(np.int32)))], names)
+                if not depth:
+                    yield row(-1, np.zeros(0))
+                    continue
                 _, rot = unit_rotated(matrix(part.column("e")))
-                edges, width = block_edges(dim), np.sqrt(budget(dim, threshold))
+                edges, size = block_edges(dim), np.sqrt(budget(dim, threshold))
                 for k in range(len(edges) - 1):
-                    first = rot[:, edges[k]]
-                    second = rot[:, min(edges[k] + 1, edges[k + 1] - 1)]
-                    cx, cy = np.floor(first / width).astype(np.int32), np.floor(second / width).astype(np.int32)
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "rep", "copies", "e")), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(cx), pa.array(cy)], ["label", "rep", "copies", "e", "dim", "block", "cx", "cy"])
-
-    cells = reps.select("label", "rep", "copies", "e").mapInArrow(to_cells, f"label {l_type}, rep {i_type}, copies long, e {e_type}, dim int, block int, cx int, cy int")
-    where = ["label", "dim", "block", "cx", "cy"]
+                    yield row(k, np.floor(rot[:, edges[k] : edges[k] + depth] / size))
+
+    cells = sized.mapInArrow(to_cells, f"label {l_type}, rep {i_type}, copies long, e {e_type}, dim int, block int, cell array<int>")
+    where = ["label", "dim", "block", "cell"]
     dense = saved(cells.groupBy(*where).count().where(F.col("count") > cell_rows).withColumn("chunks", F.ceil(F.col("count") / cell_rows).cast("int")).drop("count"))
     tiles = in_tiles(cells, dense, where)
 
@@ -169,9 +206,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         ids, copies = table.column("rep"), np.asarray(table.column("copies").combine_chunks(), np.int64)
         dim, block = int(table.column("dim")[0].as_py()), int(table.column("block")[0].as_py())
         h, o = np.flatnonzero(home), np.flatnonzero(~home)
-        chunk, dx, dy, source = (table.column(c)[0].as_py() for c in ("chunk", "dx", "dy", "source"))
+        chunk, off, source = (table.column(c)[0].as_py() for c in ("chunk", "off", "source"))
+        own = not any(off) and source == chunk
+        blocks = [block] if block >= 0 else list(range(len(block_edges(dim)) - 1))
         n_links, left, right = np.zeros(len(x), np.int64), [], []
-        for other, same in ((h, True), (o, False)) if (dx, dy, source) == (0, 0, chunk) else ((o, False),):
+        for block, (other, same) in itertools.product(blocks, ((h, True), (o, False)) if own else ((o, False),)):
             for i, j in pairs_in(rot, h, other, block, block_edges(dim), budget(dim, threshold), same):
                 ok = np.zeros(len(i), bool)
                 for s in range(0, len(i), 1 << 16):
@@ -184,7 +223,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         some = np.flatnonzero(n_links)
         return pa.table({"a": ids.take(pa.array(some)), "b": ids.take(pa.array(low[some])), "n": pa.array(n_links[some])})
 
-    found = saved(tiles.groupBy(*where, "chunk", "dx", "dy", "source").applyInArrow(link, f"a {i_type}, b {i_type}, n long"))
+    found = saved(tiles.groupBy(*where, "chunk", "off", "source").applyInArrow(link, f"a {i_type}, b {i_type}, n long"))
     comp = connected_components(found.select("a", "b"))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     facts = saved(reps.join(counts, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").select("key", F.col("label").alias("_q_l"), F.col("e").alias("_q_e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
