@@ -1,20 +1,22 @@
 """Toxicity (operator 8): class-conditional modified Kneser-Ney models over the bytes of words.
 
-A toxic and an ordinary 5-gram model share their lower orders, so a rare expression falls back on counts of both
-classes and only evidence for one class moves the score. A word is scored from its own bytes and its edges; insults
-are recognised by their stems as well as by whole words. In a toxic text, a share of the words is taken to follow the
-toxic model and all others the ordinary one, which keeps chance differences of common words out of the sum. A
-document's ratio log p_toxic - log p_ordinary is
-normalised by its number of words and by the square root of it, and a logistic curve fitted on labelled rows that
-the models have not seen turns both into a score from 0 to 1.
-
-Scale: models are fitted on a bounded, hash-chosen sample (``sample_rows`` labelled rows of each class, at most
-``max_grams`` n-grams, the most frequent first) and are broadcast: at most 17 bytes * 2 * ``max_grams``. Scoring is
-one pass over the texts without a shuffle; every different word of a block of text is scored once.
+A toxic and an ordinary interpolated modified Kneser-Ney 5-gram model have counts of their own at the highest order and
+share the continuation counts of the lower ones, so a rare expression falls back on both classes and only evidence for one
+class moves the score. A word is scored from its own bytes and its edges; insults are recognised by their stems as well as
+by whole words. In a toxic text, a share of the words (``SHARE``) is taken to follow the toxic model and all others the
+ordinary one, which keeps chance differences of common words out of the sum. The log-likelihoods of a document under both
+are compared after normalising by its number of words and by the square root of it, and a logistic curve fitted on
+labelled rows that the models have not seen turns this into a score from 0 to 1.
+
+Scale: models are fitted on a bounded, hash-chosen sample (``sample_rows`` labelled rows of each class and
+``sample_chars`` characters at most, whole rows) and all its n-grams, and are broadcast: at most 12 bytes * 2 for each
+character. Scoring is one pass over the texts without a shuffle; every different word of a block of text is scored once.
 
 Defined cases: a null, empty or blank text has ratio 0 and gets the curve's value there, at most just under the
-cut; a document whose label is null or not 0/1 does not train; a sample without both classes gives score 0 for all;
-columns named as a result column are replaced.
+cut; a document whose label is null or not 0/1 does not train, and of several labels of an id the largest counts; of rows
+that repeat a text and a label, the smallest id trains; equal scores are predicted alike; a sample without both classes
+gives score 0 for all; repeated rows get repeated results; an empty table gives an empty result; columns named as a result
+column are replaced.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from .common import crc_mod, small_batches, without
-from .kneser_ney import estimate, lookup, pack
+from .common import crc_mod, saved, small_batches, without
+from .kneser_ney import estimate, lookup
 from .text import Words, mix, slices
 
 ORDER, PAD, END = 5, 0, 1
 CUT = 0.7
-DISCOUNT = 2.0
 SHARE = 0.003
 RESULT = ["held_out", "score", "predicted"]
 
@@ -59,30 +61,13 @@ def word_grams(w: Words, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 class Ratio:
     """log p_toxic - log p_ordinary of words, from 5-grams and their document counts in both classes.
 
-    Both classes back off to the shared 5-gram model with an absolute discount of ``DISCOUNT`` documents, so that
-    what only one or two documents of a class show counts for nothing.
-    """
+    Each class is an interpolated modified Kneser-Ney model of its own 5-gram counts over lower orders that both share."""
 
     def __init__(self, rows: np.ndarray, counts: np.ndarray):
-        shared = estimate(rows, counts.sum(1, keepdims=True), 8, 256, PAD)
-        grams, p = shared.top_keys, shared.top_p[:, 0]
-        at = np.searchsorted(grams, pack(rows, 8))
-        c = np.zeros((len(grams), 2))
-        c[at] = counts
-        # a 4-byte history has the key of its own four bytes
-        hist, of = np.unique((grams >> 8) & ((1 << 8 * (ORDER - 1)) - 1), return_inverse=True)
-        total = np.stack([np.bincount(of, weights=c[:, k], minlength=len(hist)) for k in (0, 1)], 1)
-        cut = np.minimum(c, DISCOUNT)
-        free = np.stack([np.bincount(of, weights=cut[:, k], minlength=len(hist)) for k in (0, 1)], 1)
-        mass = np.where(total > 0, free / np.maximum(total, 1), 1.0)
-        prob = (c - cut) / np.maximum(total[of], 1) + mass[of] * p[:, None]
-        of_hist = np.log(mass[:, 1]) - np.log(mass[:, 0])
-        of_gram = np.log(prob[:, 1]) - np.log(prob[:, 0]) - of_hist[of]
-        keys = np.concatenate([hist | (1 << 8 * (ORDER - 1)), grams])
-        diff = np.concatenate([of_hist, of_gram])
+        model = estimate(rows, counts, 8, 256, PAD)
+        diff = model.weight[:, 1] - model.weight[:, 0]
         use = np.abs(diff) > 1e-6
-        by = np.argsort(keys[use])
-        self.keys, self.diff = keys[use][by], diff[use][by].astype(np.float32)
+        self.keys, self.diff = model.keys[use], diff[use].astype(np.float32)
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ratio, number of words) of each text."""
@@ -113,7 +98,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return beta
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, sample_rows: int = 4000, max_grams: int = 1 << 20) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, sample_rows: int = 4000, sample_chars: int = 1 << 25) -> DataFrame:
     """Documents with ``held_out``, ``score`` and ``predicted``. ``labels``: (doc_id, toxic)."""
     small_batches(docs.sparkSession)
     base = without(docs, RESULT)
@@ -124,8 +109,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     for k in (0, 1):
         part = lab.where(F.col("y") == k).orderBy(order, "id").limit(sample_rows)
         chosen = part if chosen is None else chosen.union(part)
-    # at most 2 * sample_rows ids
-    sample = base.select(ident.alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["text", "y"]).withColumn("half", F.floor(F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(3)) / 2).cast("int"))
+    # at most 2 * sample_rows ids; the sample is stored, so that every pass sees the same rows in the same half
+    texts = base.select(ident.alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("text", "y").agg(F.min("id").alias("id"))
+    so_far = F.sum(F.length("text")).over(W.partitionBy("y").orderBy(order, "id"))  # over sample_rows rows
+    sample = texts.withColumn("chars", so_far).where(F.col("chars") <= sample_chars)
+    sample = saved(sample.select("text", "y", F.floor(F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(3)) / 2).cast("int").alias("half")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +131,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     grams = (
         sample.where("half = 0").select("text", "y").mapInArrow(count, "g long, c0 long, c1 long")
-        .groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-        .orderBy(F.desc(F.col("c0") + F.col("c1")), "g").limit(max_grams).toPandas()
-    )
+        .groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toPandas()  # at most 2 * sample_chars rows
+    ).sort_values("g")
     counts = grams[["c0", "c1"]].to_numpy(np.int64)
     fits = bool(len(grams)) and bool((counts.sum(0) > 0).all())
     beta, ratio = np.zeros(3), None
