@@ -1,5 +1,6 @@
 """Work that is split is still whole: bounded groups, and the results of the unsplit job."""
 
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -41,15 +42,16 @@ def test_near_dedup_blocks_and_tiles_are_bounded(spark):
 def test_embedding_groups_are_bounded(spark):
     """A split cell between cells that are not: no group holds over two chunks, and each pair of vectors meets once."""
     places = [(0, 0)] * 900 + [(1, 1)] * 20 + [(-1, 0)] * 20 + [(1, 0)] * 300 + [(5, 5)] * 30 + [(5, 6)] * 30
-    where = ["label", "dim", "block", "cx", "cy"]
-    rows = spark.createDataFrame([("x", i, 8, 0, x, y) for i, (x, y) in enumerate(places)], "label string, rep long, dim int, block int, cx int, cy int")
+    where = ["label", "dim", "block", "cell"]
+    rows = spark.createDataFrame([("x", i, 8, 0, list(c)) for i, c in enumerate(places)], "label string, rep long, dim int, block int, cell array<int>")
     counts = rows.groupBy(*where).count()
     dense = counts.where("count > 100").withColumn("chunks", F.ceil(F.col("count") / 100).cast("int")).drop("count")
     tiles = embedding_dedup.in_tiles(rows, dense, where).cache()
-    group = [*where, "chunk", "dx", "dy", "source"]
+    group = [*where, "chunk", "off", "source"]
     assert tiles.groupBy(*group).count().agg(F.max("count")).first()[0] < 300
-    met = tiles.alias("a").join(tiles.alias("b"), group).where("a.home and (not b.home or (dx = 0 and dy = 0 and source = chunk and a.rep < b.rep))")
+    own = F.forall("off", lambda x: x == 0) & (F.col("source") == F.col("chunk"))
+    met = tiles.alias("a").join(tiles.alias("b"), group).where(F.col("a.home") & (~F.col("b.home") | (own & (F.col("a.rep") < F.col("b.rep")))))
     met = met.select(F.least("a.rep", "b.rep").alias("i"), F.greatest("a.rep", "b.rep").alias("j")).cache()
-    near = {(0, 0), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1)}
+    near = set(itertools.product((-1, 0, 1), repeat=2))
     want = sum(1 for i in range(len(places)) for j in range(i) if (places[i][0] - places[j][0], places[i][1] - places[j][1]) in near)
     assert met.distinct().count() == met.count() == want
