@@ -1,6 +1,9 @@
 """SentencePiece encoding and decoding (operator 3): unigram Viterbi over a double-array trie.
 
-The vocabulary file's pieces and log scores are used as they are; nothing is trained. A text is encoded as the
+The vocabulary file's pieces and scores are used as they are; nothing is trained. The Viterbi path has the largest sum of
+scores: the most probable segmentation where scores are log-probabilities, as in a unigram vocabulary. The default file is
+a merge vocabulary, the only piece file at hand: its scores are negative merge ranks, so its path has the smallest sum of
+ranks, in double precision. Another file is a parameter. A text is encoded as the
 format defines it: a whitespace mark before the text, spaces as marks, the path of pieces with the highest sum of
 scores (the earlier start wins a tie), and bytes for characters that no piece covers. Decoding joins the pieces,
 turns byte pieces into bytes and marks into spaces, and drops the first mark.
@@ -13,7 +16,8 @@ trie together as numpy arrays.
 Scale: one pass without a shuffle; the broadcast trie has a size fixed by the vocabulary file.
 
 Defined cases: a null text gives null ids and counts as empty; an empty text has no pieces; a text's own U+2581
-characters decode as spaces, as the format has it; columns named as a result column are replaced.
+characters decode as spaces, as the format has it; of paths with equal sums the one with the earlier start wins; repeated
+rows get repeated results; an empty table gives an empty result; columns named as a result column are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ RESULT = ["ids", "n_pieces", "n_byte_pieces", "round_trip"]
 
 @dataclass
 class Vocabulary:
-    """Piece bytes (marks as spaces), log scores, and a double-array trie over them.
+    """Piece bytes (marks as spaces), scores, and a double-array trie over them.
 
     ``base[s] + byte`` is the state after ``byte`` if ``check`` names ``s`` there; ``value`` is the id of the piece that
     ends in a state, -1 for none. ``byte_ids``: the id of each byte piece.

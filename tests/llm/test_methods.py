@@ -16,7 +16,7 @@ import pytest
 from quillet.llm import kneser_ney, line_dedup, lm_scoring
 from quillet.llm import registry as llm
 from quillet.llm.components import connected_components
-from quillet.llm.fuzzy_passages import Fenwick, align, chains, fuzzy_passages
+from quillet.llm.fuzzy_passages import Fenwick, align, chains, fuzzy_passages, paired
 from quillet.llm.lm_scoring import LogBilinear
 from quillet.llm.mixing import mix_sources, rake_local
 from quillet.llm.near_dedup import longest_rise, near_dedup
@@ -149,6 +149,33 @@ def test_sentencepiece_against_library(texts):
         assert decode_texts(v, [own])[0] == t
 
 
+def test_sentencepiece_shipped_scores(texts):
+    """The file's own scores: the sum of the path's scores is the largest that any segmentation has."""
+    v = load_vocabulary(default_path())
+    number = {p: i for i, p in enumerate(v.pieces) if p and i not in set(v.byte_ids.tolist())}
+    rng = random.Random(7)
+    some = [t[:200] for t in list(texts.values())[:25] if t] + ["".join(rng.choice("abcdeéz 你🦙.,0") for _ in range(rng.randint(1, 50))) for _ in range(60)]
+    ids, per = encode(v, pa.array(some))
+    edge = np.concatenate([[0], np.cumsum(per)])
+    for i, t in enumerate(some):
+        chars = (" " + t).replace("▁", " ")
+        best = [0.0] + [-math.inf] * len(chars)
+        for e in range(1, len(chars) + 1):
+            for b in range(max(0, e - 40), e):
+                piece = number.get(chars[b:e].encode())
+                score = v.scores[piece] if piece is not None else v.unknown if e == b + 1 else -math.inf
+                best[e] = max(best[e], best[b] + score)
+        own, total, at, raw = ids[edge[i] : edge[i + 1]].tolist(), 0.0, 0, set(v.byte_ids.tolist())
+        while at < len(own):
+            if own[at] in raw:  # the bytes of one character have its unknown score together
+                total, at = total + v.unknown, at + 1
+                while at < len(own) and own[at] in raw and 0x80 <= own[at] - int(v.byte_ids[0]) < 0xC0:
+                    at += 1
+            else:
+                total, at = total + v.scores[own[at]], at + 1
+        assert total == pytest.approx(best[-1], rel=1e-12)
+
+
 def test_sentencepiece_round_trip(spark, texts):
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = decode_documents(encode_documents(d)).collect()
@@ -266,6 +293,48 @@ def test_passages_planted(spark):
             assert min(p.start for p in got[i].passages) <= 62 and max(p.end for p in got[i].passages) >= 138 and got[i].n_repeated_words <= 90
 
 
+def test_passages_brute(spark):
+    """Every document that shares 50 words at 0.8 with another, and no other, by all pairs of windows."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    edited = lambda p, rate: [x for w in p for x in ([] if rng.random() < rate / 3 else [word(), w] if rng.random() < rate / 3 else [word() if rng.random() < rate / 3 else w])]
+    passages = [[word() for _ in range(75)] for _ in range(3)]
+    docs = {}
+    for i in range(18):
+        mid = edited(passages[i % 3], 0.05) if i < 9 else edited(passages[i % 3], 1.2) if i < 13 else passages[i % 3][:30]
+        docs[i] = [word() for _ in range(rng.randint(0, 40))] + mid + [word() for _ in range(rng.randint(0, 40))]
+    number = {w: k for k, w in enumerate({w for d in docs.values() for w in d})}
+    codes = {i: np.array([number[w] for w in d]) for i, d in docs.items()}
+
+    def share(a, b):
+        for i in range(0, len(a) - 49, 3):
+            x = a[i : i + 50]
+            if len(np.intersect1d(x, b)) >= 40 and any(paired(x, b[j : j + 50]) >= 40 for j in range(0, len(b) - 49, 3)):
+                return True
+        return False
+
+    want = set()
+    for i, j in itertools.combinations(docs, 2):
+        if share(codes[i], codes[j]):
+            want |= {i, j}
+    rows = fuzzy_passages(spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if r.n_passages} == want and want >= set(range(9)) and not want & set(range(13, 18))
+    for r in rows:
+        for p in r.passages or []:
+            x, y = codes[r.doc_id][p.start : p.end], codes[p.partner]
+            assert p.end - p.start >= 50 and paired(x, y) >= 0.8 * (p.end - p.start) * 0.99 and p.similarity >= 0.8
+
+
+def test_paired_is_the_longest_common_subsequence():
+    rng = random.Random(2)
+    for _ in range(200):
+        x, y = ([rng.randrange(5) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, j in itertools.product(range(len(x)), range(len(y))):
+            table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
+        assert paired(np.array(x, int), np.array(y, int)) == table[-1][-1]
+
+
 def test_chains_and_fenwick():
     rng = random.Random(3)
     f, plain = Fenwick(50), [(-1e18, -1)] * 50
