@@ -7,6 +7,11 @@
 5. SentencePiece: the texts are encoded, and checked by decoding.
 
 All stages but the last return the columns of documents. ``sf_dir`` gives the labels of the quality classifier.
+
+Defined cases are those of the stages: a document without text is kept by the classifier if its perplexity is, loses no
+line, is alone, is drawn with probability 1 and gets no pieces (null ids for a null text); a row without an id is alone;
+of rows that repeat an id and a text, all or none stay; without trusted labels the classifier keeps all; an empty table
+gives an empty result; further columns go through all stages, but for those named as a column of the last one.
 """
 
 from __future__ import annotations
@@ -49,7 +54,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("minhash near-dedup", near_duplicates), ("mixing", mixing), ("sentencepiece", tokens)]
 
-#: Training a model and Viterbi decoding have no SQL form; tests hold run() against the stages' brute-force versions.
+#: Training a model and Viterbi decoding have no SQL form; tests/llm/test_brute.py holds run() against plain versions of all stages.
 ORACLE_SQL = None
 
 
