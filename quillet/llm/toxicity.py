@@ -98,7 +98,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return beta
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, sample_rows: int = 4000, sample_chars: int = 1 << 25) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, sample_rows: int = 4000, sample_chars: int = 1 << 24) -> DataFrame:
     """Documents with ``held_out``, ``score`` and ``predicted``. ``labels``: (doc_id, toxic)."""
     small_batches(docs.sparkSession)
     base = without(docs, RESULT)
