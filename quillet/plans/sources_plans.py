@@ -13,6 +13,7 @@ from quillet.functions.vectors import cosine
 from quillet.operators import chunks as C
 from quillet.operators import population as P
 from quillet.sources import documents as D
+from quillet.streaming.resume import populate_stream
 
 from .bindings import TYPES, order_documents, order_responses, population_of, table
 
@@ -132,6 +133,12 @@ def a14_name_map(spark, sf):
     return D.read_name_map(raw).select("gt_table", "pred_attr", F.array_join("gt_attrs", "|").alias("gt_attrs"))
 
 
+@query("SELECT d AS doc_id, row_number() OVER (ORDER BY try_cast(d AS BIGINT) NULLS LAST, d) - 1 AS place FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE '' END || o_orderkey AS d FROM orders) t")
+def a15_numeric_order(spark, sf):
+    k = F.col("o_orderkey")
+    return D.numbered(table(spark, sf, "orders").select(F.concat(F.when(k % 3 == 0, "x").otherwise(""), k.cast("string")).alias("doc_id")))
+
+
 _CHUNKS = "SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substr(text, CAST(i * 450 + 1 AS BIGINT), 500) AS chunk FROM documents, generate_series(0, greatest(CAST(ceil((length(text) - 500) / 450.0) AS BIGINT), 0)) t(i)"
 
 
@@ -263,6 +270,18 @@ def e08_extract_by_patterns(spark, sf):
     return P.extract_by_patterns(order_documents(spark, sf), {"status": r"status (\w)", "priority": r"priority (.*)\."})
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderstatus AS status FROM orders")
+def s01_populate_stream(spark, sf):
+    """Documents that arrive in two deliveries, each read by a stream that goes on where the one before ended."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = order_documents(spark, sf)
+    fn = lambda d: P.extract_by_patterns(d, {"status": r"status (\w)"})
+    for k in (0, 1):
+        docs.where(F.col("ord") % 2 == k).write.mode("append").parquet(f"{root}/in")
+        populate_stream(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", fn).awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n, o_orderstatus AS status FROM orders")
 def e09_single_shot(spark, sf):
     o = table(spark, sf, "orders")

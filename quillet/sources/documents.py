@@ -24,6 +24,12 @@ def in_order(docs: DataFrame) -> DataFrame:
     return docs.orderBy(F.expr("try_cast(doc_id AS bigint)").asc_nulls_last(), "doc_id")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Documents with ``place``, their 0-based place in the order of ``in_order``."""
+    n = F.expr("try_cast(doc_id AS bigint)")
+    return global_rank(docs.withColumn("_text", n.isNull()).withColumn("_value", n), "_text", "_value", "doc_id", name="place").drop("_text", "_value")
+
+
 def resolve_text(docs: DataFrame, files: DataFrame) -> DataFrame:
     """Documents whose empty text comes from their file; ``files``: (path, text). Missing files give an empty text."""
     own = F.when(F.col("doc_text") != "", F.col("doc_text"))
