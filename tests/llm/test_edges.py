@@ -76,3 +76,5 @@ def test_vectors(spark):
     assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[3] == (2, 1, False)
     assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11))
     assert embedding_dedup(d.limit(0)).count() == 0
+    more = embedding_dedup(d.withColumn("N_Links", F.lit("mine")).withColumn("Component_ID", F.lit("mine")).withColumn("_extra", F.lit("mine")))
+    assert [c.lower() for c in more.columns].count("n_links") == 1 and {r.vec_id: (r.n_links, r.component_id, r.kept) for r in more.collect()} == got
