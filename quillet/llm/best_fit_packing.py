@@ -31,10 +31,10 @@ tasks and rows is taken; an empty table gives an empty result; columns other tha
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,24 +47,29 @@ from pyspark.sql.window import Window
 from .common import saved, small_batches
 from .text import _SPACE, slices
 
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 #: 1 white space, 2 other printable ASCII, 3 ASCII letters, 0 all else; marks that are no part of a special token or contraction.
 _KIND = np.where(_SPACE, 1, 0).astype(np.uint8)
 _KIND[0x21:0x7F] = 2
 _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 3
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ",.;:!?)\""]] = True
-CACHED_IDS, CACHED_CUTS = 4_000_000, 400_000
+CACHED_IDS, CACHED_CUTS = 4_000_000, 600_000
 
 
 class Encoder:
     """Token ids of texts by a ``tokenizers`` definition (its JSON text)."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         parsed = json.loads(definition)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)  # a byte-level token has one character for each byte
         split = parsed.get("pre_tokenizer") or {}
         self.cuts = parsed.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
         self._clear()
@@ -74,16 +79,31 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
+
     def _learn(self, fresh: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in fresh], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        end = self.used + int(sizes.sum())
+        """Encode cuts. Those with white space before and a sure end behind are encoded as one text, and parted by the tokens' widths."""
+        sure = [x for x in fresh if _SPACE[x[0]] and _KIND[x[-1]] >= 2] if self.cuts else []
+        rest = [x for x in fresh if not (_SPACE[x[0]] and _KIND[x[-1]] >= 2)] if self.cuts else fresh
+        ids, sizes = [], []
+        if sure:
+            found = self._encoded([b"".join(sure)])[0]
+            ends = np.searchsorted(np.cumsum(self.width[found]), np.cumsum([len(x) for x in sure])) + 1
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
+        if rest:
+            found = self._encoded(rest)
+            ids += found
+            sizes.append(np.array([len(x) for x in found], np.int64))
+        size = np.concatenate(sizes)
+        end = self.used + int(size.sum())
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(end, np.uint32)])
-        self.ids[self.used : end] = np.fromiter(chain.from_iterable(found), np.uint32, end - self.used)
-        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        self.ids[self.used : end] = np.concatenate(ids)
+        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.known.update(zip(sure + rest, range(len(self.known), len(self.known) + len(fresh)), strict=True))
         self.used = end
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
