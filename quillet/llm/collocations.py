@@ -6,7 +6,7 @@ Texts are lower-cased (A-Z), cut at marks and line ends into pieces and at blank
 2. Level by level, phrases of n words whose two parts of n - 1 words are frequent (Apriori) are counted by hash; hashes with
    ``min_count`` occurrences are safe. The test for the level before is a bitmap of a fixed size, which lets some more pass, never less.
 3. One pass lists the different texts of safe hashes: the candidates. No phrase with ``min_count`` occurrences is missing.
-4. Candidates are numbered and taken in shards of at most ``SHARD`` phrases. A shard becomes a double-array trie: the first
+4. Candidates are numbered and taken in shards of at most ``SHARD`` phrases. A shard becomes a double-array trie (built in a task): the first
    word's state is its code, each further word is three bytes of its code. The trie is broadcast, all positions of a batch of
    texts advance through it together, byte by byte, with numpy; accepting states are bincounted, and tasks' counts summed.
 5. Spark joins the counts of parts, scores cuts in exact decimals, drops what longer candidates cover, and ranks.
@@ -45,7 +45,7 @@ from .text import _LOWER, Words, mix, slices
 BATCH_BYTES = 1 << 21
 BITS = 27
 HELD = 4_000_000
-SHARD = 2_000_000
+SHARD = 1 << 20
 HOT = 1 << 17
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -179,7 +179,7 @@ def list_phrases(texts: DataFrame, bits: list[np.ndarray]) -> DataFrame:
                 own, at = own[fresh], at[ok][first[fresh]]
                 if not len(own):
                     continue
-                seen[k - 1] = np.union1d(known, own) if len(known) < HELD else own
+                seen[k - 1] = np.sort(np.concatenate([known, own])) if len(known) < HELD else own
                 pick = (at[:, None] + np.arange(k + 1)).ravel()
                 yield pa.RecordBatch.from_arrays([w.langs.take(pa.array(w.lang[at])), joined(w, pick, np.repeat(np.arange(len(at)), k + 1), len(at)), pa.array(own.view(np.int64))], ["lang", "phrase", "h"])
 
@@ -304,19 +304,29 @@ def count_shard(texts: DataFrame, trie: Trie, first_place: int) -> DataFrame:
     return texts.mapInArrow(run, "place long, f long")
 
 
+def tries_of(placed: DataFrame, shard: int) -> DataFrame:
+    """(shard, n, codes, base, check, value): the tries of all shards of ``placed`` (place, lang, phrase), a task each."""
+
+    def build(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place").combine_chunks()
+        t = build_trie(rows.column("lang").combine_chunks(), rows.column("phrase").combine_chunks())
+        parts = [pa.array([x.tobytes()], pa.binary()) for x in (t.codes, t.base, t.check, t.value)]
+        return pa.Table.from_arrays([rows.column("shard").slice(0, 1), pa.array([t.n], pa.int64()), *parts], ["shard", "n", "codes", "base", "check", "value"])
+
+    d = placed.select(F.expr(f"place div {shard}").alias("shard"), "place", "lang", "phrase")
+    return d.groupBy("shard").applyInArrow(build, "shard long, n long, codes binary, base binary, check binary, value binary")
+
+
 def count_phrases(texts: DataFrame, candidates: DataFrame, shard: int) -> DataFrame:
     """Candidates (lang, phrase) with ``f``, counted shard by shard."""
-    placed = saved(global_rank(candidates, "lang", "phrase", name="place"))
-    n = placed.count()
-    counts = None
-    for at in range(0, n, shard):
-        rows = placed.where((F.col("place") >= at) & (F.col("place") < at + shard)).select("place", "lang", "phrase").toArrow()
-        rows = rows.sort_by("place").combine_chunks()
-        own = count_shard(texts, build_trie(rows.column("lang").combine_chunks(), rows.column("phrase").combine_chunks()), at)
-        own = saved(own.groupBy("place").agg(F.sum("f").alias("f")))
-        counts = own if counts is None else counts.union(own)
-    if counts is None:
-        return placed.select("lang", "phrase", F.lit(0).cast("long").alias("f"))
+    placed = saved(global_rank(saved(candidates), "lang", "phrase", name="place"))
+    tries = saved(tries_of(placed, shard))
+    counts = placed.select("place", F.lit(0).cast("long").alias("f")).limit(0)
+    for i in range(-(-placed.count() // shard)):
+        row = tries.where(F.col("shard") == i).toArrow().to_pylist()[0]  # at most ``shard`` phrases
+        trie = Trie(np.frombuffer(row["codes"], np.uint64), *(np.frombuffer(row[c], np.int32) for c in ("base", "check", "value")), row["n"])
+        own = count_shard(texts, trie, i * shard)
+        counts = counts.union(saved(own.groupBy("place").agg(F.sum("f").alias("f"))))
     return placed.join(counts, "place").select("lang", "phrase", "f")
 
 
