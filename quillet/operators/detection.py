@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -227,10 +228,11 @@ def trial_summary(trials: DataFrame, *keys: str) -> DataFrame:
 
 
 def pool_tokens(tokens: DataFrame, *keys: str) -> DataFrame:
-    """(keys.., pooled): mean and maximum of token vectors by dimension, one after the other."""
-    d = tokens.select(*keys, F.posexplode("vec").alias("i", "x")).groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.max(F.col("x").cast("double")).alias("h"))
-    both = F.sort_array(F.collect_list(F.struct("i", "m", "h")))
-    return d.groupBy(*keys).agg(both.alias("b")).select(*keys, F.concat(F.transform("b", lambda s: s["m"]), F.transform("b", lambda s: s["h"])).alias("pooled"))
+    """(keys.., pooled): mean and maximum of token vectors by dimension, one after the other. Vectors are folded whole, in
+    each task first; null ones are left out."""
+    d = tokens.where(F.col("vec").isNotNull()).select(*keys, array_to_vector(F.col("vec").cast("array<double>")).alias("_v"))
+    both = Summarizer.metrics("mean", "max").summary(F.col("_v"))
+    return d.groupBy(*keys).agg(both.alias("b")).select(*keys, F.concat(vector_to_array("b.mean"), vector_to_array("b.max")).alias("pooled"))
 
 
 def align_span(tokens: Column, value: Column) -> Column:
