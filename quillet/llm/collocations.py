@@ -5,13 +5,15 @@ Texts are lower-cased (A-Z), cut at marks and line ends into pieces and at blank
 1. Words are counted; those with ``min_count`` occurrences are frequent.
 2. Level by level, phrases of n words whose two parts of n - 1 words are frequent (Apriori) are counted by hash; hashes with
    ``min_count`` occurrences are safe. The test for the level before is a bitmap of a fixed size, which lets some more pass, never less.
-3. One pass lists the different texts of safe hashes: the candidates. No phrase with ``min_count`` occurrences is missing.
+3. One pass lists the texts of safe hashes, the candidates. Counting has found, for each hash, the smallest hash of a text that
+   holds it; only that text (and a copy of it in another task) lists the phrase, told by a bitmap of such pairs. No phrase with
+   ``min_count`` occurrences is missing.
 4. Candidates are numbered and taken in shards of at most ``SHARD`` phrases. A shard becomes a double-array trie (built in a task): the first
    word's state is its code, each further word is three bytes of its code. The trie is broadcast, all positions of a batch of
    texts advance through it together, byte by byte, with numpy; accepting states are bincounted, and tasks' counts summed.
 5. Spark joins the counts of parts, scores cuts in exact decimals, drops what longer candidates cover, and ranks.
 
-Scale: each level shuffles a row of 16 bytes for each different safe hash of a task, not the texts. Bitmaps (16 MB) and tries
+Scale: each level shuffles a row of 20 bytes for each different safe hash of a task, not the texts. Bitmaps (16 MB) and tries
 (``SHARD`` phrases) have a fixed size; candidates beyond one shard cost a pass over the texts for each shard. The parts' counts
 are joined by their text; words with over 1 / 2^17 of all occurrences, at most 2^17 of them, are broadcast, so that no common
 first word is a hot key.
@@ -79,6 +81,10 @@ class PieceWords(Words):
         self.lang = np.asarray(kinds.indices)[self.doc] if len(self.doc) else np.zeros(0, np.int64)
         seeds = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs.to_pylist()], np.uint64)
         self.key = mix(self.hash ^ seeds[self.lang]) if len(self.lang) else np.zeros(0, np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.key, dtype=np.uint64)])
+        whole = mix(total[self.first[1:]] - total[self.first[:-1]]) >> np.uint64(33)
+        #: 31 bits of a hash of the text that holds each word
+        self.text = whole[self.doc].astype(np.int64)
 
     def levels(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(hash, first word) of all phrases of one, two, .. n words inside pieces."""
@@ -129,16 +135,23 @@ def count_words(texts: DataFrame) -> DataFrame:
     return d.groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f"))
 
 
+def summed(h: np.ndarray, f: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different hashes, the sums of their counts, the smallest of their texts."""
+    by = np.argsort(h, kind="stable")
+    h = h[by]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+    if not len(start):
+        return h, f[by], text[by]
+    return h[start], np.add.reduceat(f[by], start), np.minimum.reduceat(text[by], start)
+
+
 def safe_hashes(texts: DataFrame, below: np.ndarray, n: int, min_count: int) -> DataFrame:
-    """(h) of phrases of ``n`` words, both parts of n - 1 words in the bitmap ``below``, that occur ``min_count`` times."""
+    """(h, text) of phrases of ``n`` words, both parts of n - 1 words in the bitmap ``below``, that occur ``min_count`` times;
+    ``text`` is the smallest hash of a text that holds one."""
     shared = texts.sparkSession.sparkContext.broadcast(below)
 
-    def packed(h: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f)], ["h", "f"])
-
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        h, own = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return h, np.bincount(own, weights=np.concatenate([p[1] for p in parts]), minlength=len(h)).astype(np.int64)
+    def packed(h: np.ndarray, f: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f), pa.array(text.astype(np.int32))], ["h", "f", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, parts, held = shared.value, [], 0
@@ -146,23 +159,39 @@ def safe_hashes(texts: DataFrame, below: np.ndarray, n: int, min_count: int) ->
             *_, (low, low_at), (h, at) = w.levels(n)
             ok = np.zeros(len(w.key) + 1, bool)
             ok[low_at] = in_bitmap(bits, low)
-            parts.append(np.unique(h[ok[at] & ok[at + 1]], return_counts=True))
+            own = ok[at] & ok[at + 1]
+            parts.append(summed(h[own], np.ones(int(own.sum()), np.int64), w.text[at[own]]))
             held += len(parts[-1][0])
             if held > HELD:
-                parts = [merged(parts)]
+                parts = [summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
                 held = len(parts[0][0])
                 if held > HELD // 2:
                     yield packed(*parts[0])
                     parts, held = [], 0
         if parts:
-            yield packed(*merged(parts))
+            yield packed(*summed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+
+    d = texts.mapInArrow(run, "h long, f long, text int")
+    return d.groupBy("h").agg(F.sum("f").alias("f"), F.min("text").alias("text")).where(F.col("f") >= min_count).select("h", "text")
+
+
+def _pair(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    return mix(h ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def pairs_of(safe: DataFrame) -> DataFrame:
+    """(h): a hash of each safe hash and the text that lists it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_pair(np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1))).view(np.int64))], ["h"])
 
-    d = texts.mapInArrow(run, "h long, f long")
-    return d.groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("h")
+    return safe.select("h", "text").mapInArrow(run, "h long")
 
 
 def list_phrases(texts: DataFrame, bits: list[np.ndarray]) -> DataFrame:
-    """(lang, phrase, h): phrases of two words and more whose hash is in their level's bitmap; a task lists each hash once."""
+    """(lang, phrase, h): phrases of two words and more that their text is to list, by their level's bitmap of pairs; a task
+    lists each hash once."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +201,7 @@ def list_phrases(texts: DataFrame, bits: list[np.ndarray]) -> DataFrame:
             for k, (h, at) in enumerate(w.levels(len(maps) + 1)):
                 if not k:
                     continue
-                ok = in_bitmap(maps[k - 1], h)
+                ok = in_bitmap(maps[k - 1], _pair(h, w.text[at]))
                 own, first = np.unique(h[ok], return_index=True)
                 known = seen[k - 1]
                 fresh = np.ones(len(own), bool) if not len(known) else known[np.minimum(np.searchsorted(known, own), len(known) - 1)] != own
@@ -373,14 +402,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     every = saved(count_words(texts))
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
     words = every.where(F.col("f") >= min_count)
-    bits, safe = [bitmap(words)], []
+    below, safe = bitmap(words), []
     for n in range(2, max_words + 1):
-        safe.append(saved(safe_hashes(texts, bits[-1], n, min_count)))
-        bits.append(bitmap(safe[-1]))
-    hashes = safe[0]
+        safe.append(saved(safe_hashes(texts, below, n, min_count)))
+        below = bitmap(safe[-1])
+    hashes = safe[0].select("h")
     for s in safe[1:]:
-        hashes = hashes.union(s)
-    listed = list_phrases(texts, bits[1:]).join(hashes.distinct(), "h", "left_semi").select("lang", "phrase").distinct()
+        hashes = hashes.union(s.select("h"))
+    listed = list_phrases(texts, [bitmap(pairs_of(s)) for s in safe]).join(hashes.distinct(), "h", "left_semi").select("lang", "phrase").distinct()
     phrases = saved(count_phrases(texts, listed, shard).where(F.col("f") >= min_count))
     out = scored(phrases, words, totals).join(not_covered(phrases, cover_percent), ["lang", "phrase"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
