@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillet.functions.literals import object_map
 from quillet.functions.nulls import is_none_value
 from quillet.functions.shared import small_side
 
@@ -16,36 +17,12 @@ MISSING = "None"
 OVERLONG = 100
 ATTEMPTS = 11
 SCHEMA_ROWS = 100_000
-#: An object with at most one level of objects inside, in runs that never give back a character.
-OBJECT = r"\{(?>[^{}]++|\{[^{}]*+\})*+\}"
-#: What stands between a JSON fence and the next fence, and an object between fences.
-FENCED_JSON = r"(?i)```json\s*+((?>[^`]++|`(?!``))*+)```"
-FENCED_OBJECT = r"```\s*+(\{(?>[^`}]++|\}(?!\s*+```)|`)*+\})\s*+```"
-
-
-def _parsed(text: Column) -> Column:
-    """A JSON object, or the literal of a Python dict, as a map; null if it is neither or empty. The lambda's variable holds
-    the text, so that it is made once, and what does not begin as an object is not parsed at all."""
-
-    def parse(t: Column) -> Column:
-        words = F.contains(t, F.lit("None")) | F.contains(t, F.lit("True")) | F.contains(t, F.lit("False"))
-        plain = t
-        for python, json in (("None", "null"), ("True", "true"), ("False", "false")):
-            plain = F.regexp_replace(plain, rf"(?<=[:\[,]\s?){python}(?=\s*[,}}\]])", json)
-        return F.from_json(F.when(words, plain).otherwise(t), T.MapType(T.StringType(), T.StringType()))
-
-    maps = F.transform(F.array(F.trim(text)), lambda t: F.when(F.startswith(t, F.lit("{")), parse(t)))
-    return F.get(F.filter(maps, lambda m: F.size(m) > 0), F.lit(0))
 
 
 def extract_json(raw: Column) -> Column:
-    """First non-empty object of a raw response: a fenced JSON block, a fenced object, any object in the text with at
-    most one level of objects inside, the whole text. Later forms are looked at only where earlier ones give nothing."""
-    fences = lambda pattern: F.when(F.contains(raw, F.lit("```")), F.regexp_extract(raw, pattern, 1))
-    objects = F.regexp_extract_all(raw, F.lit(OBJECT), F.lit(0))
-    none = F.lit(None).cast("map<string,string>")
-    inner = F.aggregate(objects, none, lambda found, text: F.coalesce(found, _parsed(text)))
-    return F.coalesce(_parsed(fences(FENCED_JSON)), _parsed(fences(FENCED_OBJECT)), inner, _parsed(F.regexp_replace(raw, r"^\s+|\s+$", "")))
+    """First non-empty object of a raw response, as a map of texts: a fenced JSON block, a fenced object, any object in the
+    text, the whole text; JSON or the literal of a Python dict (``quillet.functions.literals``)."""
+    return object_map(raw)
 
 
 def parsed_responses(responses: DataFrame) -> DataFrame:
