@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,3 +54,43 @@ def running_sum(df: DataFrame, value: str, *order: str, name: str = "before") ->
     offsets = _offsets(d.groupBy("_p").agg(F.sum(value).alias("_n")))
     inside = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return d.withColumn("_w", inside).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_w")).drop("_p", "_i", "_o", "_w")
+
+
+def exact_percentile(df: DataFrame, value: str, share: float, bins: int = 1024, few: int = 100_000) -> float | None:
+    """The ``share`` percentile of a number column, interpolated between its two neighbours; null and NaN are left out.
+
+    Distributed selection: the values are counted in equal bins between their bounds, the bin that holds the place is cut
+    again, and once at most ``few`` values (or one repeated value) are left, these are sorted. No task holds all values."""
+    v = saved(df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")))
+    n = v.count()
+    if not n:
+        return None
+    place = (n - 1) * share
+    low, high = (_nth(v, int(i), bins, few) for i in (math.floor(place), math.ceil(place)))
+    return low + (high - low) * (place - math.floor(place)) if high != low else low
+
+
+def _nth(v: DataFrame, place: int, bins: int, few: int) -> float:
+    """The value at a 0-based place in the order of ``v``."""
+    while True:
+        n, low, high = v.agg(F.count("v"), F.min("v"), F.max("v")).first()
+        if low == high:
+            return low
+        if n <= few:
+            return sorted(r[0] for r in v.collect())[place]
+        # scaled first, so that the width of the widest range is a number
+        at = F.least(F.floor((F.col("v") / 2 - low / 2) / (high / 2 - low / 2) * bins), F.lit(bins - 1))
+        binned = v.withColumn("b", at)
+        before = 0
+        for b, count in sorted(binned.groupBy("b").count().collect()):  # at most ``bins`` rows
+            if place < before + count:
+                break
+            before += count
+        if count == n:  # one bin holds all: halve between the least and the rest
+            rest = v.where(F.col("v") > low)
+            ties = n - rest.count()
+            if place < ties:
+                return low
+            v, place = rest, place - ties
+        else:
+            v, place = binned.where(F.col("b") == b).select("v"), place - before

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillet.functions.joins import not_in
+
 from .bindings import populated
 
 SQL: dict[str, str] = {
@@ -59,4 +61,9 @@ def run(name: str):
     return query
 
 
-QUERIES = {name: run(name) for name in SQL}
+def q16_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, lines = (populated(spark, sf_dir, t) for t in ("part", "lineitem"))
+    return not_in(parts.select("p_partkey"), "p_partkey", lines.where("l_quantity > 45"), "l_partkey")
+
+
+QUERIES = {name: run(name) for name in SQL} | {"q16_not_in": q16_not_in}

@@ -179,28 +179,30 @@ def b05_cosine(spark, sf):
 _FILTERED = f"WITH c AS ({_CHUNKS}), t AS (SELECT c.*, count(*) OVER (PARTITION BY doc_id) AS n, e.embedding AS v FROM c JOIN embeddings e ON e.vec_id = (doc_id * 7 + chunk_index) % (SELECT count(*) FROM embeddings)), s AS (SELECT t.*, q.vec_id AS query_id, list_cosine_similarity(CAST(t.v AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS sim FROM t, embeddings q WHERE q.vec_id IN {_QUERY_IDS}), f AS (SELECT *, n = 1 OR sim >= 0.0 AS kept FROM s) "
 
 
-def _filtered(spark, sf):
+def _chunks_and_queries(spark, sf):
     e = table(spark, sf, "embeddings")
     n = e.agg(F.count(F.lit(1)).alias("n_vec"))
     ch = C.chunk_documents(table(spark, sf, "documents"), text_col="text").crossJoin(F.broadcast(n))
     ch = ch.join(e.select("vec_id", "embedding"), (F.col("doc_id") * 7 + F.col("chunk_index")) % F.col("n_vec") == F.col("vec_id")).select("doc_id", "chunk_index", "chunk", "embedding")
-    return C.filter_chunks(ch, e.where(F.col("vec_id").isin(*_QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), 0.0)
+    return ch, e.where(F.col("vec_id").isin(*_QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
-@query(_FILTERED + "SELECT query_id, doc_id, chunk_index, kept FROM f")
+@query(_FILTERED + "SELECT query_id, doc_id, chunk_index, round(sim, 6) + 0.0 AS sim FROM f WHERE kept")
 def b06_filter_chunks(spark, sf):
-    return _filtered(spark, sf).select("query_id", "doc_id", "chunk_index", "kept")
+    return C.filter_chunks(*_chunks_and_queries(spark, sf), 0.0).select("query_id", "doc_id", "chunk_index", (F.round("sim", 6) + F.lit(0.0)).alias("sim"))
 
 
 @query(_FILTERED + "SELECT query_id, doc_id, count(*) AS num_chunks, count(*) FILTER (WHERE kept) AS num_kept, count(*) FILTER (WHERE NOT kept) AS num_dropped, round(min(sim), 6) AS min_sim, round(max(sim), 6) AS max_sim, round(avg(sim), 6) AS avg_sim FROM f GROUP BY query_id, doc_id")
 def b07_filter_statistics(spark, sf):
-    s = C.filter_statistics(_filtered(spark, sf), "query_id")
+    s = C.filter_statistics(*_chunks_and_queries(spark, sf), 0.0)
     return s.select("query_id", "doc_id", "num_chunks", "num_kept", "num_dropped", *[F.round(c, 6).alias(c) for c in ("min_sim", "max_sim", "avg_sim")])
 
 
 @query(_FILTERED + "SELECT query_id, doc_id, md5(coalesce(string_agg(chunk, chr(10) || chr(10) ORDER BY chunk_index) FILTER (WHERE kept), '')) AS hash FROM f GROUP BY query_id, doc_id")
 def b08_reassemble(spark, sf):
-    return C.reassemble(_filtered(spark, sf), "query_id").select("query_id", "doc_id", F.md5("doc_text").alias("hash"))
+    ch, q = _chunks_and_queries(spark, sf)
+    whole = C.reassemble(C.filter_chunks(ch, q, 0.0), C.filter_statistics(ch, q, 0.0), "query_id")
+    return whole.select("query_id", "doc_id", F.md5("doc_text").alias("hash"))
 
 
 @query("SELECT round(quantile_cont(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 0.05), 6) AS threshold FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0) AND vec_id <> 0")
