@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillet.functions.predicates import predicate
+from quillet.functions.segments import Runs
+from quillet.functions.shared import saved, small_side
 
 STRENGTH = 3.0
 
@@ -35,6 +37,57 @@ def posterior(observations: DataFrame, priors: DataFrame | None = None, strength
     return both.select("attr", a.alias("alpha"), b.alias("beta"), (a / (a + b)).alias("mean"))
 
 
+def running_posterior(observations: DataFrame, priors: DataFrame | None = None, strength: float = STRENGTH) -> DataFrame:
+    """Observations (seq, attr, passed) with ``alpha``, ``beta`` and ``mean`` as they were before each of them. An attribute of
+    any length is spread over ranges of ``seq``; ``priors`` as in ``posterior``. An observation that is null counts as neither."""
+    own = observations.where(F.col("attr").isNotNull())
+    if priors is not None:
+        own = own.join(small_side(priors.select("attr", F.col("mean").alias("_mu"))), "attr", "left")
+    passed, failed = F.coalesce(F.col("passed").cast("int"), F.lit(0)), F.coalesce((~F.col("passed")).cast("int"), F.lit(0))
+    d = Runs.of(own, "attr", "seq").running(_p_upto=passed, _f_upto=failed).result()
+    mu = F.coalesce("_mu", F.lit(0.5)) if priors is not None else F.lit(0.5)
+    a, b = mu * strength + F.col("_p_upto") - passed, (1 - mu) * strength + F.col("_f_upto") - failed
+    return d.select(*observations.columns, a.alias("alpha"), b.alias("beta"), (a / (a + b)).alias("mean"))
+
+
+def posterior_by_batch(observations: DataFrame, batch_size: int, priors: DataFrame | None = None, strength: float = STRENGTH) -> DataFrame:
+    """(batch, attr, alpha, beta, mean): what is known of every attribute before each batch of ``batch_size`` values of ``seq``
+    (from 0), also where a batch before had none of its observations. A row for each attribute and batch."""
+    batch = F.floor(F.col("seq") / batch_size).cast("long")
+    seen = saved(observations.where(F.col("attr").isNotNull()).select("attr", batch.alias("batch"), "passed").groupBy("attr", "batch").agg(F.count_if("passed").alias("p"), F.count_if(~F.col("passed")).alias("f")))
+    last = seen.agg(F.max("batch").alias("last"))
+    attrs = seen.select("attr").union(priors.select("attr")).distinct() if priors is not None else seen.select("attr").distinct()
+    every = attrs.crossJoin(F.broadcast(last)).where("last IS NOT NULL").select("attr", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("batch"))
+    d = Runs.of(every.join(seen, ["attr", "batch"], "left"), "attr", "batch").running(p_upto=F.col("p"), f_upto=F.col("f")).result()
+    mu = F.lit(0.5)
+    if priors is not None:
+        d, mu = d.join(small_side(priors.select("attr", F.col("mean").alias("_mu"))), "attr", "left"), F.coalesce("_mu", F.lit(0.5))
+    a = mu * strength + F.col("p_upto") - F.coalesce("p", F.lit(0))
+    b = (1 - mu) * strength + F.col("f_upto") - F.coalesce("f", F.lit(0))
+    return d.select("batch", "attr", a.alias("alpha"), b.alias("beta"), (a / (a + b)).alias("mean"))
+
+
+def draw_by_batch(posteriors: DataFrame, seed: int = 0) -> DataFrame:
+    """(batch, attr, draw): one seeded draw from each attribute's Beta posterior before each batch."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            own = [np.random.default_rng([seed, k, *a.encode()]).beta(x, y) for k, a, x, y in zip(p["batch"], p["attr"], p["alpha"], p["beta"], strict=True)]
+            yield pd.DataFrame({"batch": p["batch"], "attr": p["attr"], "draw": np.clip(own, 0, 1)})
+
+    return posteriors.select("batch", "attr", "alpha", "beta").mapInPandas(draw, "batch long, attr string, draw double")
+
+
+def _priority(mode: str) -> Column:
+    return (F.col("mean") * F.col("cost")).desc() if mode == "product" else F.when(F.col("mean") < 1, F.col("cost") / (1 - F.col("mean"))).asc_nulls_last()
+
+
+def order_by_batch(stats: DataFrame, mode: str = "product") -> DataFrame:
+    """``order_predicates`` for each batch: predicates (batch, attr, mean, cost, position) with their ``rank`` in the batch, so
+    that a cascade runs every batch in the order that all batches before have taught. A batch has a row a predicate."""
+    return stats.withColumn("rank", F.row_number().over(Window.partitionBy("batch").orderBy(_priority(mode), F.col("position"))))
+
+
 def thompson_draw(post: DataFrame, seed: int = 0) -> DataFrame:
     """(attr, draw): one seeded draw from each attribute's Beta posterior."""
 
@@ -49,8 +102,7 @@ def thompson_draw(post: DataFrame, seed: int = 0) -> DataFrame:
 def order_predicates(stats: DataFrame, mode: str = "product") -> DataFrame:
     """Predicates (attr, mean, cost, position) with their ``rank``: by mean * cost, largest first, or with ``fail_fast`` by
     cost for each document that fails, smallest first; ties keep the schema's order. The table has a row a predicate."""
-    by = (F.col("mean") * F.col("cost")).desc() if mode == "product" else F.when(F.col("mean") < 1, F.col("cost") / (1 - F.col("mean"))).asc_nulls_last()
-    return stats.withColumn("rank", F.row_number().over(Window.orderBy(by, F.col("position"))))
+    return stats.withColumn("rank", F.row_number().over(Window.orderBy(_priority(mode), F.col("position"))))
 
 
 def lazy_extract(docs: DataFrame, stages: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from quillet.functions.ranks import global_rank, rank_in_groups, running_sum, seeded
 from quillet.functions.shared import saved
+from quillet.functions.spans import aligned_span
 from quillet.operators.evaluation import ratio
 
 THRESHOLDS = (0.00001, 0.00005, 0.0001, 0.0005, 0.001, 0.005, 0.01, 0.02, 0.03, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.97, 0.99, 0.995, 0.999)  # fixed values
@@ -237,18 +238,6 @@ def pool_tokens(tokens: DataFrame, *keys: str) -> DataFrame:
 
 def align_span(tokens: Column, value: Column) -> Column:
     """struct(start, n): first run of tokens whose joined text equals the value; null if none. Quotes and white space at the
-    ends of both don't count, nor do double quotes inside. A start grows until its text is longer than the value."""
-    clean = lambda c: F.regexp_replace(F.regexp_replace(c, "^[\"'\n\t ]+|[\"'\n\t ]+$", ""), r'\\?"', "")
-    want, texts = clean(value), F.transform(tokens, lambda t: F.coalesce(t, F.lit("")))
-
-    def grown(s, t):
-        acc, k = F.concat(s["acc"], t), s["k"] + 1
-        own = clean(acc)
-        state = F.struct(acc.alias("acc"), k.alias("k"), F.when(own == want, k).when(F.length(own) > F.length(want), -1).otherwise(0).alias("n"))
-        return F.when(s["n"] != 0, s).otherwise(state)
-
-    none = F.struct(F.lit("").alias("acc"), F.lit(0).alias("k"), F.lit(0).alias("n"))
-    length = lambda i: F.aggregate(F.slice(texts, i + 1, F.size(texts)), none, grown, lambda s: s["n"])
-    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    first = F.aggregate(starts, F.struct(F.lit(0).alias("start"), F.lit(0).alias("n")), lambda r, i: F.when(r["n"] > 0, r).otherwise(F.struct(i.alias("start"), length(i).alias("n"))))
-    return F.when(first["n"] > 0, first)
+    ends of both don't count, nor do double quotes inside; values that stand for a missing one equal each other.
+    One search in the joined text, in Arrow batches (``quillet.functions.spans``)."""
+    return aligned_span(tokens, value)

@@ -13,7 +13,7 @@ from quillet.functions.vectors import cosine
 from quillet.operators import chunks as C
 from quillet.operators import population as P
 from quillet.sources import documents as D
-from quillet.streaming.resume import populate_stream
+from quillet.streaming.resume import populate_stream, stored
 
 from .bindings import TYPES, order_documents, order_responses, population_of, table
 
@@ -36,6 +36,20 @@ def a01_document_scan(spark: SparkSession, sf: str) -> DataFrame:
     return D.read_documents(spark, f"{sf}/documents.parquet").select("doc_id", "ord")
 
 
+_FORMAT_TEXT = "replace(coalesce(text, ''), chr(13), ' ')"
+
+
+@query(f"SELECT fmt, CAST(doc_id AS VARCHAR) AS doc_id, doc_id AS ord, md5({_FORMAT_TEXT}) AS hash FROM documents, (VALUES ('csv'), ('json')) t(fmt)")
+def a01_scan_of_formats(spark, sf):
+    """The documents written as csv and as json, and read back; texts hold quotes, commas and line ends."""
+    root = f"{shared_dir(spark)}/formats-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(" ")).alias("doc_text"), F.col("doc_id").cast("string").alias("doc_id"))
+    docs.write.options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(f"{root}/csv")
+    docs.write.json(f"{root}/json")
+    read = [D.read_documents(spark, f"{root}/{f}", f).select(F.lit(f).alias("fmt"), "doc_id", "ord", F.md5(F.coalesce("doc_text", F.lit(""))).alias("hash")) for f in ("csv", "json")]
+    return read[0].union(read[1])
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority ELSE coalesce(n_name, '') END AS doc_text FROM orders LEFT JOIN nation ON o_orderkey % 30 = n_nationkey")
 def a02_resolve_text(spark, sf):
     docs = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 1, F.col("o_orderpriority")).otherwise("").alias("doc_text"), F.concat(F.lit("f"), F.col("o_orderkey") % 30).alias("source_file"))
@@ -281,7 +295,7 @@ def s01_populate_stream(spark, sf):
     for k in (0, 1):
         docs.where(F.col("ord") % 2 == k).write.mode("append").parquet(f"{root}/in")
         populate_stream(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", fn).awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return stored(spark, f"{root}/out")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n, o_orderstatus AS status FROM orders")

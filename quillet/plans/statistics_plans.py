@@ -12,6 +12,7 @@ from quillet.operators import detection as H
 from quillet.operators import evaluation as G
 from quillet.operators import sampling as S
 from quillet.operators import schemas as B
+from quillet.operators.heads import score_heads, train_heads
 
 from .bindings import order_truth, table
 from .sources_plans import _PRIORITY, _RES, _STATUS
@@ -54,6 +55,42 @@ def f07_posterior(spark, sf):
     return _posterior(spark, sf).withColumn("mean", F.round("mean", 6))
 
 
+_SEQ_OBS = "SELECT o_orderkey AS seq, o_orderpriority AS attr, o_orderstatus = 'F' AS passed FROM orders"
+_RUNNING = "count(*) FILTER (WHERE {}passed) OVER (PARTITION BY attr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _observed(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("attr"), (F.col("o_orderstatus") == "F").alias("passed"))
+
+
+def _order_priors(spark, sf):
+    return _observed(spark, sf).where("attr < '3'").select("attr").distinct().withColumn("mean", F.substring("attr", 1, 1).cast("double") / 4)
+
+
+@query(f"SELECT seq, attr, alpha, beta, round(alpha / (alpha + beta), 9) AS mean FROM (SELECT seq, attr, CAST(mu * 3 + {_RUNNING.format('')} AS DOUBLE) AS alpha, CAST((1 - mu) * 3 + {_RUNNING.format('NOT ')} AS DOUBLE) AS beta FROM (SELECT *, CASE WHEN attr < '3' THEN CAST(substr(attr, 1, 1) AS DOUBLE) / 4 ELSE 0.5 END AS mu FROM ({_SEQ_OBS}) x) o) r")
+def f07_running_posterior(spark, sf):
+    d = K.running_posterior(_observed(spark, sf), _order_priors(spark, sf))
+    return d.select("seq", "attr", "alpha", "beta", F.round("mean", 9).alias("mean"))
+
+
+_BATCHES = f"SELECT attr, b AS batch, 1.5 + count(*) FILTER (WHERE passed AND seq // 5000 < b) AS alpha, 1.5 + count(*) FILTER (WHERE NOT passed AND seq // 5000 < b) AS beta FROM ({_SEQ_OBS}) o, range(0, (SELECT max(o_orderkey) // 5000 + 1 FROM orders)) t(b) GROUP BY attr, b"
+
+
+def _before_batches(spark, sf):
+    return K.posterior_by_batch(_observed(spark, sf), 5000)
+
+
+@query(f"SELECT batch, attr, row_number() OVER (PARTITION BY batch ORDER BY (ascii(attr) - 40) / (1 - alpha / (alpha + beta)), attr) AS rank FROM ({_BATCHES}) s")
+def f02_order_by_batch(spark, sf):
+    stats = _before_batches(spark, sf).withColumn("cost", F.ascii("attr") - 40.0).withColumn("position", F.col("attr"))
+    return K.order_by_batch(stats, "fail_fast").select("batch", "attr", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def f08_draw_by_batch(spark, sf):
+    return K.draw_by_batch(_before_batches(spark, sf), seed=1)
+
+
 @query()
 def f08_thompson_draw(spark, sf):
     return K.thompson_draw(_posterior(spark, sf), seed=1)
@@ -85,6 +122,21 @@ def f03_lazy_extract(spark, sf):
     return K.lazy_extract(table(spark, sf, "part"), [_P1, _P2, _P3]).select("p_partkey", "num_extracted", "stopped_at", "stopped_early")
 
 
+_STOPPED = "CASE WHEN NOT a THEN 'size' WHEN NOT b THEN 'type' WHEN NOT c THEN 'price' END"
+
+
+@query(f"SELECT p_partkey, CAST(p_size AS VARCHAR) AS size, CASE WHEN a THEN p_type END AS type, CASE WHEN NOT a THEN 1 WHEN NOT b THEN 2 ELSE 3 END AS num_extracted, {_STOPPED} AS stopped_at FROM ({_PARTS}) t")
+def f03_lazy_extract_with(spark, sf):
+    """The same cascade with a user's functions, which see a document only as long as it passes."""
+    stages = [
+        ("size", lambda p: p["p_size"].astype(str), lambda v: v.astype(int) >= 20),
+        ("type", lambda p: p["p_type"], lambda v: v.str.contains("ECONOMY", regex=False)),
+        ("price", lambda p: (p["p_retailprice"] > p["p_size"]).astype(str), lambda v: v == "True"),
+    ]
+    docs = table(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_retailprice")
+    return K.lazy_extract_with(docs, stages, key="p_partkey").select("p_partkey", "size", "type", "num_extracted", "stopped_at")
+
+
 @query(f"SELECT stopped_at, count(*) AS documents, CAST(sum(num_extracted) AS BIGINT) AS extractions FROM ({_LAZY}) l GROUP BY stopped_at")
 def f04_cascade_statistics(spark, sf):
     return K.cascade_statistics(K.lazy_extract(table(spark, sf, "part"), [_P1, _P2, _P3]))
@@ -447,9 +499,9 @@ def h04_error_classifier(spark, sf):
 
 @query()
 def h05_multi_head(spark, sf):
-    d = _vector_samples(spark, sf)
-    heads = [H.score_samples(H.train_classifier(d, hidden=16, seed=s), d).select("vec_id", "prob") for s in (1, 2)]
-    return heads[0].union(heads[1]).groupBy("vec_id").agg(F.avg("prob").alias("prob"))
+    split = saved(H.ordered_split(_vector_samples(spark, sf), 0.8, "vec_id"))
+    model, _ = train_heads(split, hidden=16, epochs=30)
+    return score_heads(model, split).select("vec_id", "y", "heads", "prob")
 
 
 @query(_OUT + "SELECT doc_id, layer, round(score, 6) AS score FROM sc")

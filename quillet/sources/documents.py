@@ -11,9 +11,16 @@ from quillet.functions.ranks import global_rank
 DOCUMENT = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.StringType()), ("doc_text", T.StringType()), ("source_file", T.StringType()), ("parent_doc_id", T.StringType()), ("chunk_index", T.IntegerType()), ("ord", T.LongType()))])
 
 
-def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Documents with the columns of ``DOCUMENT``; those that the source lacks are null. The order is ``ord``, else the id."""
-    raw = spark.read.parquet(path) if fmt == "parquet" else spark.read.schema(DOCUMENT).format(fmt).load(path)
+def read_documents(spark: SparkSession, path: str | None = None, fmt: str = "parquet", **options: str) -> DataFrame:
+    """Documents with the columns of ``DOCUMENT``, matched by name; those that the source lacks are null. The order is ``ord``,
+    else the id. Csv has a header, and quoted texts may hold line ends and doubled quotes; json is a line a document;
+    ``options`` go to the reader (jdbc: ``url`` and ``dbtable``, without a path)."""
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.options(header="true", multiLine="true", escape='"')
+    elif fmt == "json":
+        reader = reader.schema(DOCUMENT)
+    raw = reader.options(**options).load(path) if path else reader.options(**options).load()
     cols = [F.col(f.name).cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType) for f in DOCUMENT]
     out = raw.select(*[c.alias(f.name) for c, f in zip(cols, DOCUMENT, strict=True)])
     return out.withColumn("ord", F.coalesce("ord", F.expr("try_cast(split_part(doc_id, '-', 1) AS bigint)")))

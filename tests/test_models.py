@@ -82,3 +82,18 @@ def test_one_pass_equals_two(spark):
     one = population.populate(r, ["a"], schema)
     plain = lambda d: sorted((x.doc_id, x.res or "", sorted(x.data.items()), x.overlong) for x in d.collect())
     assert plain(one) == plain(two) == [("1", "a", [("x", "None"), ("y", "None")], False), ("2", "", [], False), ("4", "a", [("x", "None"), ("y", "v")], False)]
+
+
+def test_draws_of_batches_follow_what_came_before(spark):
+    from quillet.operators.cascade import draw_by_batch, posterior_by_batch
+
+    rows = [(s, a, s % 10 < k) for a, k in (("a", 9), ("b", 2)) for s in range(0, 400) if a == "a" or s < 100]
+    d = spark.createDataFrame([*rows, (5, None, True)], "seq long, attr string, passed boolean")
+    prior = spark.createDataFrame([("c", 0.9)], "attr string, mean double")
+    post = posterior_by_batch(d, 50, prior)
+    got = {(r.batch, r.attr): (r.alpha, r.beta) for r in post.collect()}
+    assert len(got) == 3 * 8 and got[0, "a"] == (1.5, 1.5) and got[2, "b"] == got[7, "b"] == (1.5 + 20, 1.5 + 80) and got[7, "a"] == (1.5 + 315, 1.5 + 35)
+    assert math.isclose(got[3, "c"][0], 2.7) and posterior_by_batch(d.limit(0), 50).count() == 0
+    draws = [{(r.batch, r.attr): r.draw for r in draw_by_batch(post, s).collect()} for s in range(8)]
+    assert draws[0] == {(r.batch, r.attr): r.draw for r in draw_by_batch(post.repartition(3), 0).collect()}
+    assert abs(np.mean([x[7, "a"] for x in draws]) - 0.9) < 0.05 and abs(np.mean([x[7, "b"] for x in draws]) - 0.2) < 0.05 and np.std([x[0, "a"] for x in draws]) > 0.1

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillet.sources import documents as D
-from quillet.streaming.resume import populate_stream
+from quillet.streaming.resume import populate_stream, stored
 
 
 @pytest.fixture(scope="module")
@@ -56,4 +56,34 @@ def test_sink_and_stream(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         populate_stream(spark, str(tmp_path / "in"), str(tmp_path / "res"), str(tmp_path / "ck"), lambda df: df.select("doc_id", F.upper("doc_text").alias("v"))).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "res")).collect()) == [("1", "X"), ("2", "Y")]
+    assert sorted(tuple(r) for r in stored(spark, str(tmp_path / "res")).collect()) == [("1", "X"), ("2", "Y")]
+
+
+def test_stopped_stream_goes_on(spark, tmp_path):
+    """A batch that fails after it has written, or half way, runs again and replaces its rows; ids of earlier deliveries come from
+    the state, also where what is stored is gone."""
+    rows = lambda ids: spark.createDataFrame([(str(i), f"t{i}", None, None, 0, i) for i in ids], D.DOCUMENT)
+    out, paths, fail = str(tmp_path / "res"), [str(tmp_path / p) for p in ("in", "res", "ck")], [True]
+
+    def populate(df):
+        if fail[0]:
+            df.select("doc_id").write.mode("overwrite").parquet(f"{out}/_batch=0")
+            raise RuntimeError("stopped")
+        return df.select("doc_id", F.upper("doc_text").alias("v"))
+
+    rows([1, 2, 2, 3]).write.parquet(paths[0])
+    with pytest.raises(Exception, match="stopped"):
+        populate_stream(spark, *paths, populate).awaitTermination()
+    fail[0] = False
+    populate_stream(spark, *paths, populate).awaitTermination()
+    rows([3, 4, 1, 5]).write.mode("append").parquet(paths[0])
+    populate_stream(spark, *paths, populate).awaitTermination()
+    populate_stream(spark, *paths, populate).awaitTermination()
+    assert sorted(tuple(r) for r in stored(spark, out).collect()) == [(str(i), f"T{i}") for i in range(1, 6)]
+
+
+def test_csv_and_json(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('doc_text,doc_id,other\n"two\nlines, ""quoted""",7,x\nplain,8-0,y\n')
+    (tmp_path / "a.json").write_text('{"doc_id": "7", "doc_text": "two\\nlines", "ord": 3}\n{"doc_id": "x"}\n')
+    assert sorted((r.doc_id, r.doc_text, r.ord, r.source_file) for r in D.read_documents(spark, str(tmp_path / "a.csv"), "csv").collect()) == [("7", 'two\nlines, "quoted"', 7, None), ("8-0", "plain", 8, None)]
+    assert sorted((r.doc_id, r.doc_text, r.ord) for r in D.read_documents(spark, str(tmp_path / "a.json"), "json").collect()) == [("7", "two\nlines", 3), ("x", None, None)]
