@@ -14,7 +14,8 @@ character. Scoring is one pass over the texts without a shuffle; every different
 
 Defined cases: a null, empty or blank text has ratio 0 and gets the curve's value there, at most just under the
 cut; a document whose label is null or not 0/1 does not train, and of several labels of an id the largest counts; of rows
-that repeat a text and a label, the smallest id trains; equal scores are predicted alike; a sample without both classes
+that repeat a text and a label, the smallest id trains; texts of any length are scored whole, those over a sixteenth of
+``sample_chars`` do not train (an error if a class has no shorter one); equal scores are predicted alike; a sample without both classes
 gives score 0 for all; repeated rows get repeated results; an empty table gives an empty result; columns named as a result
 column are replaced.
 """
@@ -28,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from .common import crc_mod, saved, small_batches, without
+from .common import crc_mod, saved, small_batches, within, without
 from .kneser_ney import estimate, lookup
 from .text import Words, mix, slices
 
@@ -112,9 +112,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # at most 2 * sample_rows ids; the sample is stored, so that every pass sees the same rows in the same half
     texts = base.select(ident.alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     texts = texts.groupBy("text", "y").agg(F.min("id").alias("id"))
-    so_far = F.sum(F.length("text")).over(W.partitionBy("y").orderBy(order, "id"))  # over sample_rows rows
-    sample = texts.withColumn("chars", so_far).where(F.col("chars") <= sample_chars)
+    sample = within(texts, sample_chars, order, F.col("id"), by=("y",))
     sample = saved(sample.select("text", "y", F.floor(F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(3)) / 2).cast("int").alias("half")))
+    labelled, used = ({r["y"] for r in d.select("y").distinct().collect()} for d in (texts, sample))
+    if labelled != used:
+        raise ValueError("no labelled text of a class is short enough for the sample: raise sample_chars")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
