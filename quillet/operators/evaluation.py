@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.functions.nulls import is_null
+from quillet.functions.shared import small_side
 
 NO_MAP = "map<string,string>"
 
 
 def check_tables(pairs: DataFrame, table_map: DataFrame) -> DataFrame:
     """Pairs with ``table_ok``: the predicted table's ground-truth name is the right one. ``table_map``: (pred_table, mapped)."""
-    d = pairs.join(F.broadcast(table_map), "pred_table", "left")
+    d = pairs.join(small_side(table_map), "pred_table", "left")
     return d.withColumn("table_ok", F.coalesce(F.col("mapped") == F.col("gt_table"), F.lit(False))).drop("mapped")
 
 
@@ -31,7 +32,7 @@ def compare_attributes(checked: DataFrame, name_map: DataFrame, verdicts: DataFr
     Both missing is TP, missing truth FP, missing prediction FN; equal values, or a truth contained in the prediction,
     are TP, else the verdict decides. An attribute that the prediction lacks is FN, or not counted if the truth is missing.
     """
-    d = checked.where("table_ok").join(F.broadcast(name_map), "gt_table")
+    d = checked.where("table_ok").join(small_side(name_map), "gt_table")
     has = F.map_contains_key("pred", F.col("pred_attr"))
     d = d.select("doc_id", "gt_table", F.col("pred_attr").alias("attr"), has.alias("has"), F.lower(F.element_at("pred", F.col("pred_attr"))).alias("pred_value"), gt_value(F.col("gt"), F.col("gt_attrs")).alias("gt_value"))
     if verdicts is not None:
@@ -47,7 +48,7 @@ def compare_attributes(checked: DataFrame, name_map: DataFrame, verdicts: DataFr
 def extra_attributes(checked: DataFrame, name_map: DataFrame) -> DataFrame:
     """(doc_id, attr): predicted values beyond the name map, each a false positive."""
     values = checked.where("gt_table is not null").select("doc_id", "gt_table", F.explode("pred").alias("pred_attr", "v")).where(~is_null(F.col("v")))
-    return values.join(F.broadcast(name_map.select("gt_table", "pred_attr")), ["gt_table", "pred_attr"], "left_anti").select("doc_id", F.col("pred_attr").alias("attr"))
+    return values.join(small_side(name_map.select("gt_table", "pred_attr")), ["gt_table", "pred_attr"], "left_anti").select("doc_id", F.col("pred_attr").alias("attr"))
 
 
 def document_counts(checked: DataFrame, name_map: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def document_counts(checked: DataFrame, name_map: DataFrame, verdicts: DataFrame
     cmp = compare_attributes(checked, name_map, verdicts)
     right = cmp.groupBy("doc_id").agg(F.count_if(F.col("outcome") == "TP").alias("tp"), F.count_if(F.col("outcome") == "FP").alias("fp"), F.count_if(F.col("outcome") == "FN").alias("fn"), (F.count_if(F.col("outcome").isin("FP", "FN")) == 0).alias("all_right"))
     extra = extra_attributes(checked, name_map).groupBy("doc_id").agg(F.count(F.lit(1)).alias("extra"))
-    per_table = F.broadcast(name_map.groupBy("gt_table").agg(F.collect_list("gt_attrs").alias("maps")))
+    per_table = small_side(name_map.groupBy("gt_table").agg(F.collect_list("gt_attrs").alias("maps")))
     d = checked.join(right, "doc_id", "left").join(extra, "doc_id", "left").join(per_table, "gt_table", "left")
     irrelevant = F.col("gt_table").isNull()
     values = F.size(F.filter(F.map_values("pred"), lambda v: ~is_null(v)))
