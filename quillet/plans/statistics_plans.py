@@ -185,6 +185,13 @@ def c01_schema_features(spark, sf):
     return _snapshots(spark, sf).select("run_id", "seq", F.array_join(F.array_sort("features"), ",").alias("features"))
 
 
+@query("WITH o AS (SELECT o_custkey % 50 AS run_id, o_orderkey AS seq, o_orderstatus AS s FROM orders) SELECT run_id, seq, s || '.Attribute Name,' || s || '.Description,table:' || s AS features FROM o")
+def c01_strict_keys(spark, sf):
+    """Features of a reader that takes the field names of nested attributes."""
+    d = S.schema_features(_log(spark, sf), strict_keys=True)
+    return d.select("run_id", "seq", F.array_join(F.array_sort("features"), ",").alias("features"))
+
+
 @query(_SNAP + "SELECT run_id, seq, round(entropy, 6) AS entropy FROM e")
 def c02_schema_entropy(spark, sf):
     return S.schema_entropy(_snapshots(spark, sf)).select("run_id", "seq", F.round("entropy", 6).alias("entropy"))

@@ -1,8 +1,11 @@
 """A small collection: three documents, many-to-many mapping, queries and schemas."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillet.functions import shared
 from quillet.sources import documents as D
 from quillet.streaming.resume import populate_stream, stored
 
@@ -87,3 +90,10 @@ def test_csv_and_json(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"doc_id": "7", "doc_text": "two\\nlines", "ord": 3}\n{"doc_id": "x"}\n')
     assert sorted((r.doc_id, r.doc_text, r.ord, r.source_file) for r in D.read_documents(spark, str(tmp_path / "a.csv"), "csv").collect()) == [("7", 'two\nlines, "quoted"', 7, None), ("8-0", "plain", 8, None)]
     assert sorted((r.doc_id, r.doc_text, r.ord) for r in D.read_documents(spark, str(tmp_path / "a.json"), "json").collect()) == [("7", "two\nlines", 3), ("x", None, None)]
+
+
+def test_saved_tables_are_dropped(spark):
+    kept = shared.saved(spark.range(3))
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 3 and os.path.isdir(path) and shared.drop_saved(spark) > 0
+    assert not os.path.exists(path) and shared.drop_saved(spark) == 0
