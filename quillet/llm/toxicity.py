@@ -37,7 +37,7 @@ from .text import Words, mix, slices
 ORDER, PAD, END = 5, 0, 1
 CUT = 0.7
 SHARE = 0.003
-RESULT = ["held_out", "score", "predicted"]
+RESULT = ["held_out", "score", "predicted", "log_ratio"]
 
 
 def word_grams(w: Words, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +99,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, sample_rows: int = 4000, sample_chars: int = 1 << 24) -> DataFrame:
-    """Documents with ``held_out``, ``score`` and ``predicted``. ``labels``: (doc_id, toxic)."""
+    """Documents with ``held_out``, ``score``, ``predicted`` and ``log_ratio``, the difference of the two log-likelihoods for
+    each word that the score is made of. ``labels``: (doc_id, toxic)."""
     small_batches(docs.sparkSession)
     base = without(docs, RESULT)
     ident = F.col(f"`{id_col}`")
@@ -165,12 +166,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                     r, n = shared.value.of_texts(b.column(at))
                     s = 1 / (1 + np.exp(-np.clip(features(r, n) @ beta, -30, 30)))
                     s = np.where(n == 0, np.minimum(s, CUT - 0.01), s)
+                    r = r / np.maximum(n, 1)
                 else:
-                    s = np.zeros(b.num_rows)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*names, "score"])
+                    s = r = np.zeros(b.num_rows)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array(r)], [*names, "score", "log_ratio"])
 
-    out = base.mapInArrow(scored, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
-    return out.select(*[F.col(f"`{c}`") for c in names], (crc_mod(ident, folds) == held).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).cast("int").alias("predicted"))
+    out = base.mapInArrow(scored, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("log_ratio", T.DoubleType())]))
+    return out.select(*[F.col(f"`{c}`") for c in names], (crc_mod(ident, folds) == held).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).cast("int").alias("predicted"), "log_ratio")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
