@@ -16,9 +16,10 @@ from pyspark.sql.window import Window
 from quillet.functions.ranks import exact_percentile, global_rank
 from quillet.functions.shared import saved
 
-#: Numbers in a block of queries (32 MB), and pairs that a task compares at once (32 MB).
+#: Numbers in a block of queries (32 MB), pairs that a task compares at once (32 MB), and pairs that it gives out at once.
 QUERY_VALUES = 4_000_000
 PAIRS = 4_000_000
+ROWS = 100_000
 
 
 def chunk_array(text: Column, size: int = 500, overlap: int = 50) -> Column:
@@ -114,22 +115,33 @@ def _types(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
 
+def _pairs(chunks: DataFrame, queries: DataFrame, threshold: float, query_values: int, whole: bool) -> DataFrame:
+    """(query keys.., chunk columns.., sim, kept) of every pair if ``whole``, else of the kept ones."""
+    keys, own = [c for c in queries.columns if c != "query_vec"], [c for c in chunks.columns if c != "embedding"]
+
+    def each(b: pa.RecordBatch, q: pa.Table, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept = (sim >= threshold) | ((np.asarray(b.column("n_chunks")) == 1) | np.isnan(sim).all(axis=1))[:, None]
+        row, at = np.nonzero(np.ones_like(kept) if whole else kept)
+        for i in range(0, max(1, len(row)), ROWS):
+            r, k = row[i : i + ROWS], at[i : i + ROWS]
+            found, rows = q.take(pa.array(k)).combine_chunks(), b.take(pa.array(r))
+            yield pa.RecordBatch.from_arrays([*[found.column(c).combine_chunks() for c in keys], *[rows.column(c) for c in own], pa.array(sim[r, k], from_pandas=True), pa.array(kept[r, k])], [*keys, *own, "sim", "kept"])
+
+    return _against(chunks, own, queries, query_values, ", ".join(x for x in (_types(queries, keys), _types(chunks, own), "sim double, kept boolean") if x), each)
+
+
 def filter_chunks(chunks: DataFrame, queries: DataFrame, threshold: float, query_values: int = QUERY_VALUES) -> DataFrame:
     """(query keys.., chunk columns.., sim) of the chunks kept for each query, and of no others: those with a cosine of at
     least ``threshold``, a document's only chunk (untested) and chunks without a vector. ``queries``: ``query_vec`` and any keys.
 
     Every batch of chunks meets every query in a matrix product; what is dropped leaves no row. Queries beyond ``query_values``
     numbers are taken block by block, each with a pass over the chunks."""
-    keys, own = [c for c in queries.columns if c != "query_vec"], [c for c in chunks.columns if c != "embedding"]
+    return _pairs(chunks, queries, threshold, query_values, False).drop("kept")
 
-    def each(b: pa.RecordBatch, q: pa.Table, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
-        free = (np.asarray(b.column("n_chunks")) == 1) | np.isnan(sim).all(axis=1)
-        row, at = np.nonzero((sim >= threshold) | free[:, None])
-        found = q.take(pa.array(at)).combine_chunks()
-        rows = b.take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([*[found.column(c).combine_chunks() for c in keys], *[rows.column(c) for c in own], pa.array(sim[row, at], from_pandas=True)], [*keys, *own, "sim"])
 
-    return _against(chunks, own, queries, query_values, f"{_types(queries, keys)}, {_types(chunks, own)}, sim double", each)
+def chunk_verdicts(chunks: DataFrame, queries: DataFrame, threshold: float, query_values: int = QUERY_VALUES) -> DataFrame:
+    """As ``filter_chunks``, with ``kept`` and a row for every pair of a query and a chunk."""
+    return _pairs(chunks, queries, threshold, query_values, True)
 
 
 def filter_statistics(chunks: DataFrame, queries: DataFrame, threshold: float, query_values: int = QUERY_VALUES) -> DataFrame:

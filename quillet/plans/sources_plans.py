@@ -201,9 +201,10 @@ def _chunks_and_queries(spark, sf):
     return ch, e.where(F.col("vec_id").isin(*_QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
-@query(_FILTERED + "SELECT query_id, doc_id, chunk_index, round(sim, 6) + 0.0 AS sim FROM f WHERE kept")
+@query(_FILTERED + "SELECT query_id, doc_id, chunk_index, round(sim, 6) + 0.0 AS sim, kept FROM f")
 def b06_filter_chunks(spark, sf):
-    return C.filter_chunks(*_chunks_and_queries(spark, sf), 0.0).select("query_id", "doc_id", "chunk_index", (F.round("sim", 6) + F.lit(0.0)).alias("sim"))
+    chunks, queries = _chunks_and_queries(spark, sf)
+    return C.chunk_verdicts(chunks.drop("chunk"), queries, 0.0).select("query_id", "doc_id", "chunk_index", (F.round("sim", 6) + F.lit(0.0)).alias("sim"), "kept")
 
 
 @query(_FILTERED + "SELECT query_id, doc_id, count(*) AS num_chunks, count(*) FILTER (WHERE kept) AS num_kept, count(*) FILTER (WHERE NOT kept) AS num_dropped, round(min(sim), 6) AS min_sim, round(max(sim), 6) AS max_sim, round(avg(sim), 6) AS avg_sim FROM f GROUP BY query_id, doc_id")

@@ -6,6 +6,7 @@ import pytest
 from quillet.functions.joins import not_in
 from quillet.functions.ranks import exact_percentile
 from quillet.operators import chunks
+from quillet.plans import sources_plans
 
 CHUNK = "doc_id string, chunk_index int, chunk string, embedding array<double>"
 
@@ -93,3 +94,21 @@ def test_not_in(spark):
     plan = not_in(outer, "k", inner, "j")._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_every_pair_has_a_verdict(spark, data):
+    rows, queries = data
+    ch = spark.createDataFrame(rows, CHUNK).repartition(3).drop("chunk")
+    q = spark.createDataFrame(queries, "query_id int, kind string, query_vec array<double>")
+    got = chunks.chunk_verdicts(ch, q, 0.3, 20).collect()
+    n = {d: sum(r[0] == d for r in rows) for d, *_ in rows}
+    want = {(qid, d, i): n[d] == 1 or e is None or cosine(e, vec) >= 0.3 for qid, _, vec in queries for d, i, _, e in rows}
+    assert len(got) == len(want) and {(r.query_id, r.doc_id, r.chunk_index): r.kept for r in got} == want
+
+
+def test_query_names_dropped_chunks(spark):
+    """The query on the given tables: as many rows as chunks times queries, kept or not."""
+    sf = "/root/testdata/sf0.001"
+    n = chunks.chunk_documents(spark.read.parquet(f"{sf}/documents.parquet"), text_col="text").count()
+    kept = [r.kept for r in sources_plans.b06_filter_chunks(spark, sf).collect()]
+    assert len(kept) == 3 * n and 0 < sum(kept) < len(kept)
