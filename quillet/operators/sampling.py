@@ -22,6 +22,9 @@ from quillet.functions.segments import Runs
 from quillet.functions.shared import saved, small_side
 from quillet.functions.vectors import euclidean
 
+#: Rows that a pass of picks brings to the driver, at most, and the further ones for each pick.
+HELD_ROWS, HELD_PER_PICK = 4096, 64
+
 
 def schema_features(log: DataFrame, strict_keys: bool = False) -> DataFrame:
     """(run_id, seq, features): ``table:T`` and ``T.attr`` of each step's schema log (run_id, seq, table_name, attrs).
@@ -138,9 +141,10 @@ def _farthest(vectors: DataFrame, points: np.ndarray, gone: list, metric: str, h
     return (ids, v, d, -np.inf) if len(ids) <= held else (ids[:held], v[:held], d[:held], float(d[held]))
 
 
-def _held_rows(vectors: DataFrame, held_values: int) -> int:
+def _held_rows(vectors: DataFrame, held_values: int, k: int) -> int:
+    """Rows that a pass brings: ``held_values`` numbers, but not many more than ``k`` picks can use."""
     first = vectors.select(F.size("v")).first()
-    return max(2, held_values // max(1, first[0])) if first else 2
+    return max(2, min(held_values // max(1, first[0]), HELD_ROWS + HELD_PER_PICK * k)) if first else 2
 
 
 def _plain(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -151,11 +155,11 @@ def _plain(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def select_maxmin(vectors: DataFrame, chosen: list, k: int, metric: str = "euclidean", id_col: str = "vec_id", vec_col: str = "embedding", held_values: int = 4_000_000) -> DataFrame:
     """(pick, id, min_dist): k picks, each the candidate farthest from all chosen before; ties go to the smallest id.
 
-    A pass over the vectors brings the farthest of them (``held_values`` numbers) to the driver, which picks among these while
+    A pass over the vectors brings the farthest of them (``held_values`` numbers and some thousand rows at most) to the driver, which picks among these while
     the best is farther than the bound of all others, as picks only bring distances down; then comes the next pass. Every pass
     gives one pick at least, and all k where the held rows suffice. Ids may be numbers or text. Null vectors are left out."""
     data = _plain(vectors, id_col, vec_col)
-    held = _held_rows(data, held_values)
+    held = _held_rows(data, held_values, k)
     start = data.where(F.col("id").isin(chosen)).select("v").toArrow().column("v").combine_chunks() if chosen else None  # the chosen few
     points = list(_matrix(start)) if start is not None else []
     picks, gone = [], list(chosen)
@@ -196,7 +200,7 @@ def diversity_order(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col:
     As in ``select_maxmin``, a pass brings the farthest rows to the driver. While the mean moves by m, no other row is farther
     than their bound plus m; a pick beyond that is exact, else the next pass starts from the new mean."""
     data = _plain(vectors, id_col, vec_col)
-    held = _held_rows(data, held_values)
+    held = _held_rows(data, held_values, k)
     row = mean_vector(data, "v").first()
     picks, gone, total = [], [], None
     centre = np.array(row["mean"]) if row else None

@@ -105,6 +105,16 @@ def test_fifty_picks_take_few_passes(spark, monkeypatch):
     assert len(passes) == 1
 
 
+def test_few_picks_bring_few_rows(spark, monkeypatch):
+    """Rows that reach the driver don't grow with the table."""
+    brought, real = [], sampling._farthest
+    monkeypatch.setattr(sampling, "_farthest", lambda *a: brought.append(len((out := real(*a))[0])) or out)
+    d = spark.range(12_000).selectExpr("id AS vec_id", "array(cast(id % 97 AS double), cast(id % 89 AS double)) AS embedding")
+    assert [r.pick for r in sampling.diversity_order(d, 3).orderBy("pick").collect()] == [1, 2, 3]
+    assert [r.pick for r in sampling.select_maxmin(d, [0], 2).orderBy("pick").collect()] == [1, 2]
+    assert max(brought) <= sampling.HELD_ROWS + 3 * sampling.HELD_PER_PICK
+
+
 def test_vectors_are_summed_whole(spark):
     d = spark.createDataFrame([("a", 0, [1.0, 5.0]), ("a", 1, [3.0, -2.0]), ("b", 0, [0.0, 0.0])], "doc_id string, pos int, vec array<double>")
     pooled = detection.pool_tokens(d, "doc_id")
