@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillet.functions.joins import not_in
+from quillet.functions.joins import not_in, spread_join
 
 from .bindings import populated
 
@@ -66,4 +66,10 @@ def q16_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_in(parts.select("p_partkey"), "p_partkey", lines.where("l_quantity > 45"), "l_partkey")
 
 
-QUERIES = {name: run(name) for name in SQL} | {"q16_not_in": q16_not_in}
+def q26_join_inequality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = populated(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_custkey", "c_nationkey", "c_acctbal")
+    s = populated(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return spread_join(c, "c_nationkey", "c_custkey", s, "s_nationkey").where("c_acctbal <> s_acctbal").select("c_custkey", "s_suppkey")
+
+
+QUERIES = {name: run(name) for name in SQL} | {"q16_not_in": q16_not_in, "q26_join_inequality": q26_join_inequality}

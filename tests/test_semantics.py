@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillet.functions import joins
 from quillet.functions.nulls import is_none_value, is_null
 from quillet.functions.predicates import predicate
 from quillet.operators import cascade, chunks, detection, evaluation, population, sampling
@@ -110,3 +111,17 @@ def test_oversample(spark):
     d = spark.createDataFrame([(i, int(i < 3)) for i in range(10)], "doc_id int, y int")
     got = detection.oversample(d).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {0: 3, 1: 2, 2: 2, **{i: 1 for i in range(3, 10)}}
+
+
+def test_join_of_few_keys_is_spread(spark, monkeypatch):
+    """A hot key is dealt to many tasks, with a broadcast side and without; the result is that of the plain join."""
+    many = spark.range(3000).selectExpr("id", "cast(if(id % 10 = 0, id % 7, 1) AS int) AS k").union(spark.createDataFrame([(-1, None)], "id long, k int"))
+    few = spark.range(200).selectExpr("id AS s", "cast(if(id % 4 = 0, id % 9, 1) AS int) AS k2").union(spark.createDataFrame([(-1, None)], "s long, k2 int"))
+    want = sorted((r.id, r.s) for r in many.join(few, F.col("k") == F.col("k2")).collect())
+    for small in (True, False):
+        if not small:
+            monkeypatch.setattr(joins, "small_side", lambda df: df)
+        out = joins.spread_join(many, "k", "id", few, "k2", pairs=20_000)
+        assert out.columns == ["id", "k", "s", "k2"] and sorted((r.id, r.s) for r in out.collect()) == want
+        sizes = [n for n in out.select("id").mapInPandas(lambda batches: iter([pd.DataFrame({"n": [sum(map(len, batches))]})]), "n long").toPandas()["n"] if n]
+        assert len(sizes) > 8 and max(sizes) < len(want) / 4
