@@ -8,9 +8,10 @@ draw is a hash of the document id, so the same documents are kept in every run.
 (targets that contradict each other, such as a language that only one source has, have no exact fit).
 
 Topics are the nearest of ``n_topics`` centres of hashed word vectors (words of five bytes or more), found by k-means
-on a bounded, hash-chosen sample of documents. Default targets are the present token shares to the power ``temper``.
+over all documents. Default targets are the present token shares to the power ``temper``.
 
-Scale: one aggregation by cell, pre-aggregated in each task, so that one source with most rows is no hot key. Up to
+Scale: the documents' vectors (256 bytes each) are stored once and read in each step of k-means, in which a task sends its
+sums; sums are of whole numbers, so that centres don't depend on how rows are dealt. One aggregation by cell, pre-aggregated in each task, so that one source with most rows is no hot key. Up to
 ``local_cells`` cells (their number is counted first) are raked in memory and broadcast; more are raked by the same
 rounds as Spark jobs over the table of cells and joined. Texts are not shuffled.
 
@@ -22,7 +23,7 @@ are drawn alike; columns named as a result column are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from .common import saved, small_batches, without
 from .text import Words, slices
 
 DIM = 64
+X_UNIT, C_UNIT = float(1 << 28), float(1 << 22)  # products of both stay below 2^53
 RESULT = ["topic", "n_tokens", "weight", "probability", "kept", "converged"]
 ROUNDS, TOLERANCE = 200, 1e-9
 
@@ -48,21 +50,87 @@ def vectors(w: Words) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def k_means(x: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    if len(x) <= k:
-        return np.concatenate([x, np.zeros((k - len(x), x.shape[1]))])
-    centres = x[[int(rng.integers(len(x)))]]
-    for _ in range(k - 1):  # each next centre is the farthest point from those chosen
-        far = (1 - (x @ centres.T).max(axis=1)).argmax()
-        centres = np.concatenate([centres, x[[far]]])
+def units(x: np.ndarray) -> np.ndarray:
+    """Vectors as whole numbers: sums are then the same in any order, and products with centres are exact."""
+    return np.rint(x * X_UNIT)
+
+
+def topics(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Nearest centre of each row of ``units``, the first of equals; -1 for a zero vector."""
+    return np.where(np.abs(q).sum(axis=1) > 0, (q @ centres.T).argmax(axis=1), -1).astype(np.int32)
+
+
+def farthest(q: np.ndarray, centres: np.ndarray) -> tuple[float, list[int]]:
+    """(similarity, vector) of the row least similar to its nearest centre, of equals the smallest vector."""
+    near = (q @ centres.T).max(axis=1)
+    return float(near.min()), min(q[near == near.min()].astype(np.int64).tolist())
+
+
+def sums(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Sum of the rows nearest to each centre."""
+    near = (q @ centres.T).argmax(axis=1)
+    return np.stack([q[near == c].astype(np.int64).sum(axis=0) for c in range(len(centres))])
+
+
+def _directions(total: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Unit vectors of sums in whole numbers; a centre without vectors stays."""
+    x = total.astype(np.float64)
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.where(size > 0, np.rint(x / np.maximum(size, 1e-12) * C_UNIT), before)
+
+
+def fitted_centres(far: Callable, total: Callable, k: int, rounds: int = 15) -> np.ndarray:
+    """Centres of k-means over all vectors, which ``far`` and ``total`` read (``farthest`` and ``sums`` of all rows). The first
+    centre is the direction of all together, each next the vector farthest from those chosen (fewer, if all are chosen)."""
+    centres = _directions(total(np.zeros((1, DIM))), np.zeros((1, DIM)))
+    while len(centres) < k:
+        similarity, x = far(centres)
+        if similarity >= (1 - 1e-5) * X_UNIT * C_UNIT:
+            break
+        centres = np.concatenate([centres, _directions(np.array([x]), np.zeros((1, DIM)))])
     for _ in range(rounds):
-        near = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([np.bincount(near, weights=x[:, d], minlength=k) for d in range(x.shape[1])], 1)
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        again = _directions(total(centres), centres)
+        if (again == centres).all():
+            break
+        centres = again
     return centres
 
 
+def k_means(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
+    """The same centres from vectors in memory."""
+    q = units(x)
+    return fitted_centres(lambda c: farthest(q, c), lambda c: sums(q, c), k, rounds)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, DIM).astype(np.float64)
+
+
+def k_means_spark(vecs: DataFrame, k: int, rounds: int = 15) -> np.ndarray:
+    """The same centres from a table of vectors (``x``, binary), a pass for each step; tasks send a row each."""
+
+    def far(centres: np.ndarray) -> tuple[float, list[int]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [farthest(_matrix(b.column(0)), centres) for b in batches if b.num_rows]
+            if found:
+                best = min(found)
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.list_(pa.int64()))], ["s", "x"])
+
+        return min((r["s"], list(r["x"])) for r in vecs.mapInArrow(run, "s double, x array<long>").collect())
+
+    def total(centres: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(centres.shape, np.int64)
+            for b in batches:
+                if b.num_rows:
+                    out += sums(_matrix(b.column(0)), centres)
+            yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.int64()))], ["x"])
+
+        return sum((np.array(r["x"], np.int64) for r in vecs.mapInArrow(run, "x array<long>").collect()), np.zeros(centres.size, np.int64)).reshape(centres.shape)
+
+    return fitted_centres(far, total, k, rounds)
+
+
 def rake_local(codes: np.ndarray, mass: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tol: float = TOLERANCE) -> tuple[np.ndarray, bool]:
     """Fitted mass of each cell, and whether it converged. ``codes``: (cells, dims) value numbers; ``targets``: shares by value number."""
     fit, worst = mass / max(mass.sum(), 1e-300), 0.0
@@ -117,7 +185,7 @@ def rake_spark(cells: DataFrame, dims: list[str], targets: list[DataFrame], tota
     return weighted, s, max(gaps) < tol
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep_tokens: float = 0.6, temper: float = 0.5, n_topics: int = 8, sample_docs: int = 1500, seed: int = 1, local_cells: int = 200_000) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep_tokens: float = 0.6, temper: float = 0.5, n_topics: int = 8, seed: int = 1, local_cells: int = 200_000) -> DataFrame:
     """Documents with ``topic``, ``n_tokens``, ``weight`` (of the cell), ``probability``, ``kept`` and ``converged``.
 
     ``targets``: shares by value for "source", "lang" and "topic"; ``keep_tokens``: budget as a share of all tokens.
@@ -126,36 +194,35 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, id_col:
     spark = docs.sparkSession
     base = without(docs, RESULT)
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    chosen = base.select(ident.alias("id")).where("id is not null").distinct().orderBy(F.xxhash64(F.lit(21), "id"), "id").limit(sample_docs)
+    names = base.columns
+    slim = base.select(F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{lang_col}`").cast("string").alias("lang"), text.alias("text"))
 
     def vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                x = vectors(Words(b.column("text")))
-                x = x[np.abs(x).sum(axis=1) > 0]
-                yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64()))], ["x"])
+                w = Words(b.column("text"))
+                q = units(vectors(w)).astype(np.int32)
+                x = pa.array([r.tobytes() if r.any() else None for r in q], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("source"), b.column("lang"), pa.array(w.counts().astype(np.int64)), x], ["source", "lang", "n_tokens", "x"])
 
-    seen = base.select(ident.alias("id"), text.alias("text")).join(F.broadcast(chosen), "id").select("text").mapInArrow(vector_rows, "x array<double>").toPandas()  # at most sample_docs vectors
-    x = np.stack(sorted(map(tuple, seen["x"]))) if len(seen) else np.zeros((0, DIM))
-    centres = k_means(x, n_topics) if len(x) else np.zeros((n_topics, DIM))
-    names = base.columns
+    seen = saved(slim.mapInArrow(vector_rows, "source string, lang string, n_tokens long, x binary"))
+    some = seen.where("x is not null").select("x")
+    centres = k_means_spark(some, n_topics) if some.take(1) else np.zeros((n_topics, DIM))
 
-    def placer(columns: list[str], at: int, keep_text: bool):
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for b in slices(batch, columns[at]):
-                    w = Words(b.column(at))
-                    v = vectors(w)
-                    topic = np.where(np.abs(v).sum(axis=1) > 0, (v @ centres.T).argmax(axis=1), -1).astype(np.int32)
-                    cols = list(b.columns) if keep_text else [c for i, c in enumerate(b.columns) if i != at]
-                    kept = [c for i, c in enumerate(columns) if keep_text or i != at]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(topic), pa.array(w.counts().astype(np.int64))], [*kept, "topic", "n_tokens"])
+    def placed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            topic = topics(_matrix(b.column("x").fill_null(bytes(4 * DIM))), centres)
+            yield pa.RecordBatch.from_arrays([b.column("source"), b.column("lang"), pa.array(topic), b.column("n_tokens")], ["source", "lang", "topic", "n_tokens"])
 
-        return place
+    def full_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(text_col)
+        for batch in batches:
+            for b in slices(batch, names[at]):
+                w = Words(b.column(at))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(topics(units(vectors(w)), centres)), pa.array(w.counts().astype(np.int64))], [*names, "topic", "n_tokens"])
 
     extra = [T.StructField("topic", T.IntegerType()), T.StructField("n_tokens", T.LongType())]
-    slim = base.select(F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{lang_col}`").cast("string").alias("lang"), text.alias("text"))
-    placed = slim.mapInArrow(placer(["source", "lang", "text"], 2, False), T.StructType([*slim.schema.fields[:2], *extra]))
+    placed = seen.mapInArrow(placed_rows, "source string, lang string, topic int, n_tokens long")
     dims = ["source", "lang", "topic"]
     cells = saved(placed.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
     facts = cells.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).first()
@@ -193,7 +260,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, id_col:
             tables.append(have.select("value", (F.col("want") / all_).alias("want")))
         fitted, s, converged = rake_spark(cells.where("tokens > 0"), dims, tables, total, budget)
         weighted = fitted.select(F.col("source").alias("_q_source"), F.col("lang").alias("_q_lang"), F.col("topic").alias("_q_topic"), "weight", F.col("tokens").alias("_q_tokens"))
-    full = base.mapInArrow(placer(names, names.index(text_col), True), T.StructType([*base.schema.fields, *extra]))
+    full = base.mapInArrow(full_rows, T.StructType([*base.schema.fields, *extra]))
     same = F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_q_source")) & F.col(f"`{lang_col}`").cast("string").eqNullSafe(F.col("_q_lang")) & (F.col("topic") == F.col("_q_topic"))
     p = F.when(F.coalesce("_q_tokens", F.lit(0)) == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("weight") * F.lit(float(s))))
     draw = F.xxhash64(F.lit(seed), ident).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from quillet.llm import kneser_ney, line_dedup, lm_scoring
+from quillet.llm import kneser_ney, line_dedup, lm_scoring, mixing
 from quillet.llm import registry as llm
 from quillet.llm.components import connected_components
 from quillet.llm.fuzzy_passages import Fenwick, align, chains, fuzzy_passages, paired
@@ -200,6 +200,18 @@ def test_mixing(spark):
     assert max(abs(b[i].probability - a[i].probability) for i in a) < 1e-6 and all(b[i].kept == a[i].kept and b[i].converged == a[i].converged for i in a)
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    """Topics are those of k-means over every document, however rows are dealt."""
+    rng = random.Random(6)
+    sets = [[f"{c}{i}wordy" for i in range(12)] for c in "abcdefgh"]
+    texts = [" ".join(rng.choices(sets[i % 7], k=30)) for i in range(4000)] + [" ".join(rng.choices(sets[7], k=30))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source", "'en' AS lang")
+    runs = [{r.doc_id: r.topic for r in mix_sources(d.repartition(n)).select("doc_id", "topic").collect()} for n in (3, 11)]
+    assert runs[0] == runs[1] and len(set(runs[0].values())) > 4
+    x = mixing.vectors(Words(pa.array(texts)))
+    assert runs[0] == dict(enumerate(mixing.topics(mixing.units(x), mixing.k_means(x, 8)).tolist()))
+
+
 def test_raking():
     codes = np.array(list(itertools.product(range(3), range(2))))
     fit, converged = rake_local(codes, np.arange(1.0, 7.0), [np.array([0.5, 0.3, 0.2]), np.array([0.4, 0.6])])
