@@ -49,9 +49,17 @@ def ordered_split(samples: DataFrame, share: float, order: str = "doc_id") -> Da
     return samples.join(docs, order).crossJoin(F.broadcast(n)).withColumn("is_train", F.col("_rank") / F.col("_n") < share).drop("_rank", "_n")
 
 
+def dealt(samples: DataFrame, features: str, label: str, rows: int = 1024, tasks: int = 256) -> DataFrame:
+    """The samples in parts of some ``rows``, at most ``tasks``. A training sample has few bytes, so that adaptive execution
+    would leave it in one or two parts, and each step of a fit costs as long as its largest part. Parts are sorted, as sums of
+    a step depend on the order of its rows."""
+    n = max(1, min(tasks, samples.count() // rows))
+    return samples.repartition(n, F.xxhash64(features, label)).sortWithinPartitions(features, label)
+
+
 def train_classifier(samples: DataFrame, features: str = "features", label: str = "y", hidden: int = 0, seed: int = 1):
     """A fitted error classifier on an array column: one hidden layer of ``hidden`` units, or logistic regression for 0."""
-    d = samples.withColumn("_v", array_to_vector(F.transform(features, lambda x: x.cast("double")))).withColumn("_y", F.col(label).cast("double"))
+    d = dealt(samples.select(features, label), features, label).withColumn("_v", array_to_vector(F.transform(features, lambda x: x.cast("double")))).withColumn("_y", F.col(label).cast("double"))
     if hidden:
         dim = len(d.select(features).first()[0])
         return MultilayerPerceptronClassifier(layers=[dim, hidden, 2], featuresCol="_v", labelCol="_y", seed=seed, maxIter=60).fit(d)
@@ -65,7 +73,7 @@ def score_samples(model, samples: DataFrame, features: str = "features") -> Data
 
 def best_classifier(train: DataFrame, valid: DataFrame, features: str = "features", label: str = "y", candidates: tuple[tuple[int, int], ...] = ((128, 1), (128, 2), (0, 1))):
     """(model, accuracy): the candidate (hidden units, seed) with the best accuracy on the validation rows, the first of equals."""
-    best = None
+    best, train = None, saved(train.select(features, label))
     for hidden, seed in candidates:
         model = train_classifier(train, features, label, hidden, seed)
         right = F.avg(F.when((F.col("prob") >= 0.5) == (F.col(label) == 1), 1.0).otherwise(0.0))

@@ -97,3 +97,13 @@ def test_draws_of_batches_follow_what_came_before(spark):
     draws = [{(r.batch, r.attr): r.draw for r in draw_by_batch(post, s).collect()} for s in range(8)]
     assert draws[0] == {(r.batch, r.attr): r.draw for r in draw_by_batch(post.repartition(3), 0).collect()}
     assert abs(np.mean([x[7, "a"] for x in draws]) - 0.9) < 0.05 and abs(np.mean([x[7, "b"] for x in draws]) - 0.2) < 0.05 and np.std([x[0, "a"] for x in draws]) > 0.1
+
+
+def test_training_rows_are_dealt_to_many_parts(spark):
+    d = spark.range(5000).select(F.array((F.col("id") % 7).cast("double"), F.col("id").cast("double")).alias("features"), (F.col("id") % 2).cast("int").alias("y"))
+    few = d.repartition("y")  # adaptive execution leaves it in one part
+    assert few.rdd.getNumPartitions() == 1 < detection.dealt(few, "features", "y").rdd.getNumPartitions()
+    place = lambda x: [list(map(tuple, p)) for p in detection.dealt(x, "features", "y").rdd.glom().collect()]
+    assert place(few) == place(d.orderBy(F.desc("id"))) and sum(map(len, place(d))) == 5000
+    models = [detection.train_classifier(x, hidden=4) for x in (few, d)]
+    assert models[0].weights.toArray().tolist() == models[1].weights.toArray().tolist()
