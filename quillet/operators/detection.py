@@ -51,7 +51,7 @@ def ordered_split(samples: DataFrame, share: float, order: str = "doc_id") -> Da
 
 def dealt(samples: DataFrame, features: str, label: str, rows: int = 1024, tasks: int = 256) -> DataFrame:
     """The samples in parts of some ``rows``, at most ``tasks``. A training sample has few bytes, so that adaptive execution
-    would leave it in one or two parts, and each step of a fit costs as long as its largest part. Parts are sorted, as sums of
+    would leave it in few parts, and each step of a fit takes as long as its largest part. Parts are sorted, as sums of
     a step depend on the order of its rows."""
     n = max(1, min(tasks, samples.count() // rows))
     return samples.repartition(n, F.xxhash64(features, label)).sortWithinPartitions(features, label)
