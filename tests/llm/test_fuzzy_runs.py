@@ -28,6 +28,17 @@ def test_runs_of_a_word_are_not_stored_by_pairs(spark, monkeypatch):
     assert max(rows) < 80 * n  # 300 documents are 44,850 pairs
 
 
+def test_portions_have_the_same_words(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    word = lambda k: [f"w{rng.integers(10**9)}" for _ in range(k)]
+    line, passage = word(20), word(60)
+    docs = spark.createDataFrame([(i, " ".join(word(9) + (passage if i % 5 == 0 else word(30)) + line + word(9))) for i in range(40)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in fp.fuzzy_passages(docs).select("doc_id", "n_repeated_words", "n_copied_words").collect())
+    monkeypatch.setattr(fp, "PER_TASK", 60)
+    assert sorted(tuple(r) for r in fp.fuzzy_passages(docs).select("doc_id", "n_repeated_words", "n_copied_words").collect()) == want
+    assert [w[0] for w in want if w[1]] == list(range(0, 40, 5))
+
+
 def test_couples():
     rng = random.Random(6)
     for _ in range(100):
